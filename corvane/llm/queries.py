@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import toxicity
+from . import decontam, linededup, toxicity
 from .runtime import source
 
 
@@ -18,6 +18,52 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op7_toxicity": op7_toxicity}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.line_dedup(docs, min_docs=10, min_length=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
-SQL: dict[str, str] = {}
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.decontaminate(docs, source(spark, sf_dir, "benchmark"), size=13)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
+
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+WITH numbered AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, r, i, parts[i] AS line,
+    translate(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_A}', '{_Z}') AS key
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM numbered)
+), bad AS (
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(bad.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN bad USING (key) GROUP BY r""",
+    "op5_decontamination": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '{_ALNUM}') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i : i + 12], ' ') AS win
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM win), place AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)
+), hit AS (SELECT r, i, place.n, item FROM place JOIN win ON place.n = win.n AND place.win = win.win),
+word AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS k FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN items USING (r)""",
+}
