@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, linededup, toxicity
+from . import decontam, licenses, linededup, secrets, toxicity
 from .runtime import source
 
 
@@ -18,6 +18,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.line_dedup(docs, min_docs=10, min_length=1)
@@ -30,7 +35,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op10_secret_scan": op10_secret_scan, "op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
