@@ -45,26 +45,39 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): for every id of an edge the least id reachable. Alternates large-star and small-star steps until no edge changes, each a shuffle on ids of edges that shrink to a star forest; every step is written to the shared folder.
+HOT_SHARE = 4096
+HOT_ROWS = 100_000
 
-    Hot ids: an id's minimum is a partial aggregate and its fan-out joins on that id; what a star holds is one row a member, so no group is collected. Null ends and loops are dropped. No edges give no rows.
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, n: str, total: int, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined with small, whose ``key`` is unique and whose column ``n`` says how many of big's ``total`` rows have it. Keys with more than a ``HOT_SHARE``-th of the rows are fewer than ``HOT_SHARE``, so they are broadcast; the others are joined by a shuffle, where none can be large. Both should be written tables, as both are read twice where there is a hot key."""
+    hot = small.where(F.col(n) > max(hot_rows, total // HOT_SHARE))
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    cold = small.where(F.col(n) <= max(hot_rows, total // HOT_SHARE))
+    # null keys stay with the cold ones
+    return big.join(F.broadcast(hot), key).unionByName(big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, component): for every id of an edge the least id reachable. Alternates large-star and small-star steps until the edges are a forest of stars; every step is written to the shared folder.
+
+    Hot ids: an id's least neighbour is a partial aggregate, and its fan-out goes through hot_join(); what a star holds is one row a member, so no group is collected. Null ends and loops are dropped. No edges give no rows.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = table(e, "edges")
+    e = table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
     while True:
-        # large star: every neighbour that is larger than u goes to the least of u's neighbours and u
+        total = 2 * e.count()
+        if not total:
+            break
+        # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        large = table(hot_join(both.where(F.col("v") > F.col("u")), low, "u", "n", total, hot_rows=hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: u and its smaller neighbours go to the least of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        new = table(small, "edges")
-        # done once it is a forest of stars: no centre is a member, no member has two centres
-        centres = new.select(F.col("v").alias("id"), F.lit(0).alias("k")).distinct()
-        members = new.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k"))
-        e = new
-        if members.union(centres.select("id", F.lit(1).cast("long"))).groupBy("id").agg(F.sum("k").alias("k")).where("k > 1").isEmpty():
+        down = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "down")
+        e = table(hot_join(large, down, "u", "n", total, hot_rows=hot_rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        # done once no centre is a member and no member has two centres
+        ends = e.select("u").union(e.select(F.col("v").alias("u")).distinct())
+        if ends.groupBy("u").count().where("count > 1").isEmpty():
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
