@@ -131,13 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: doc_id) and score, the probability of class 1."""
-    keep = keep or ["doc_id"]
+    """The columns ``keep`` (default: doc_id; one named score is replaced) and score, the probability of class 1."""
+    keep = [c for c in keep or ["doc_id"] if c != "score"]
+    read = keep if "text" in keep else [*keep, "text"]
+    at = read.index("text")
 
     def run(batches):
         compressors = model.compressors()
         for b in batches:
-            texts = ((t.as_py() or b"") for t in b.column(len(keep)).cast(pa.large_binary()))
+            texts = ((t.as_py() or b"") for t in b.column(at).cast(pa.large_binary()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.score(sizes(texts, compressors)))], names=[*keep, "score"])
 
-    return docs.select(*keep, "text").mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
+    return docs.select(*read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, licenses, linededup, neardup, packing, quality, secrets, toxicity
+from . import decontam, embdup, licenses, linededup, neardup, packing, quality, secrets, toxicity
 from .runtime import source
 
 
@@ -62,7 +62,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(source(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_near_dedup": op8_near_dedup, "op1_license_scan": op1_license_scan, "op10_secret_scan": op10_secret_scan, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.groups(source(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op9_embedding_dedup": op9_embedding_dedup, "op8_near_dedup": op8_near_dedup, "op1_license_scan": op1_license_scan, "op10_secret_scan": op10_secret_scan, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,4 +118,19 @@ link AS (
 ), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op9_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
 }

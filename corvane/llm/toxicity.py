@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textvec as tv
 
@@ -178,22 +178,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_T
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: doc_id) and score, the probability of class 1."""
-    keep = keep or ["doc_id"]
-    src = docs.select(*keep, F.col("text").alias("__text"))
-    fields = [docs.schema[c] for c in keep]
+    """The columns ``keep`` (default: doc_id; one named score is replaced) and score, the probability of class 1."""
+    keep = [c for c in keep or ["doc_id"] if c != "score"]
+    read = keep if "text" in keep else [*keep, "text"]
+    at = read.index("text")
     table, bias = model
 
     def run(batches):
         scorer = Scorer(table, bias)
         for b in batches:
-            z = scorer.logits(b.column(len(keep)))
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            p = 1 / (1 + np.exp(-np.clip(scorer.logits(b.column(at)), -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p)], names=[*keep, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return src.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return docs.select(*read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> tuple[np.ndarray, float]:
