@@ -1,6 +1,661 @@
-"""All queries over the reference tables, and the SQL each must agree with."""
+"""All queries over the reference tables, and the SQL each must agree with.
+
+Each query applies an operator to its whole tables. Scores are rounded to 6 digits at the
+edge, where both engines agree; every ranking ends in an id.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from corvane.functions import code, nl, vectors
+from corvane.functions.tokenize import TOKENS_SQL, is_identifier
+from corvane.operators import context, extract, graph, incremental, index, ops, search
+from corvane.plans import cypher, sqlquery
+from corvane.sources.files import json_rows
+from corvane.sources.tables import CORPUS_SQL, EDGES_SQL, SYMBOLS_SQL, corpus, edges, graph_documents, load, symbols
+from corvane.streaming import watcher
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+QUERY, DUPLICATE, IDENTIFIER, START = "the was", "the the of", "the", 1
+GRAPH_SQL = f"WITH {SYMBOLS_SQL}, {EDGES_SQL}"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function as a query, with its SQL if it has one."""
+
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# -- index --------------------------------------------------------------------------------
+
+_INDEX_SQL = f"WITH src AS (SELECT doc_id, text AS content FROM documents), {TOKENS_SQL}"
+
+
+def _index(spark, sf):
+    return index.build(corpus(spark, sf))
+
+
+@query(f"{_INDEX_SQL} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tokens GROUP BY term")
+def term_stats(spark, sf):
+    return _index(spark, sf).terms()
+
+
+@query(f"{_INDEX_SQL}, n AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) SELECT d.doc_id, concat(source, '/', d.doc_id) AS path, coalesce(n, 0) AS token_count FROM documents d LEFT JOIN n USING (doc_id)")
+def doc_stats(spark, sf):
+    return _index(spark, sf).docs
+
+
+@query(f"{_INDEX_SQL} SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos FROM tokens GROUP BY term, doc_id")
+def postings(spark, sf):
+    return _index(spark, sf).postings()
+
+
+@query(
+    f"""WITH src AS (SELECT document_id AS doc_id, name AS content FROM ({SYMBOLS_SQL[SYMBOLS_SQL.index('(') + 1 : -1]})), {TOKENS_SQL},
+    d AS (SELECT doc_id, text AS content FROM documents), {TOKENS_SQL.replace('ids AS', 'ids2 AS').replace('FROM src)', 'FROM d)').replace('split AS', 'split2 AS').replace('FROM ids', 'FROM ids2').replace('tokens AS', 'tokens2 AS').replace('FROM split', 'FROM split2')}
+    SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos FROM (SELECT doc_id, term, pos FROM tokens2 UNION ALL SELECT doc_id, term, 0 FROM tokens) GROUP BY term, doc_id"""
+)
+def postings_symbol_boost(spark, sf):
+    s = symbols(spark, sf).select(F.col("document_id").alias("doc_id"), "name")
+    return index.build(corpus(spark, sf), s).postings()
+
+
+# -- retrieval ----------------------------------------------------------------------------
+
+
+def bm25_sql(q: str, k: int, k1: float = search.K1, b: float = search.B, source: str = "SELECT doc_id, concat(source, '/', doc_id) AS path, text AS content FROM documents", columns: str = "doc_id, path, round(score, 6) AS score", last: str | None = None) -> str:
+    from corvane.functions.tokenize import query_terms
+
+    terms = ", ".join(f"('{t}', {n})" for t, n in query_terms(q).items())
+    return f"""WITH src AS ({source}), {TOKENS_SQL},
+len AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+lens AS (SELECT src.doc_id, path, coalesce(n, 0) AS n FROM src LEFT JOIN len USING (doc_id)),
+stats AS (SELECT count(*) AS n, coalesce(nullif(avg(n), 0), 1) AS average FROM lens),
+q(term, times) AS (VALUES {terms}),
+hit AS (SELECT term, doc_id, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id),
+df AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
+scored AS (SELECT doc_id, path, sum(times * ln(1 + (stats.n - df + 0.5) / (df + 0.5)) * (tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * lens.n / average)))) AS score
+  FROM hit JOIN df USING (term) JOIN q USING (term) JOIN lens USING (doc_id), stats GROUP BY doc_id, path)
+{last or f'SELECT {columns} FROM scored ORDER BY scored.score DESC, path LIMIT {k}'}"""
+
+
+def _scores(df):
+    return df.withColumn("score", r6("score"))
+
+
+@query(bm25_sql(QUERY, 10))
+def search_bm25(spark, sf):
+    return _scores(search.top(search.bm25(_index(spark, sf), QUERY), 10))
+
+
+@query(bm25_sql(QUERY, 10, 2.0, 0.5))
+def search_bm25_tuned(spark, sf):
+    return _scores(search.top(search.bm25(_index(spark, sf), QUERY, 2.0, 0.5), 10))
+
+
+@query(bm25_sql(DUPLICATE, 10))
+def search_dup_terms(spark, sf):
+    return _scores(search.top(search.bm25(_index(spark, sf), DUPLICATE), 10))
+
+
+@query(bm25_sql(QUERY, 0, last="SELECT doc_id, round(score, 6) AS score FROM scored"))
+def bm25_all_scores(spark, sf):
+    return search.bm25(_index(spark, sf), QUERY).select("doc_id", r6("score").alias("score"))
+
+
+_LIVE = """SELECT doc_id, concat(source, '/', doc_id) AS path, text AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT -1 - item_id, concat('bench/', item_id), text FROM benchmark"""
+
+
+@query(bm25_sql(QUERY, 10, source=_LIVE))
+def search_overlay(spark, sf):
+    """Toxic documents are tombstones, benchmark items the overlay."""
+    base = corpus(spark, sf).select("doc_id", "path", "content")
+    dead = base.join(load(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("path")
+    new = load(spark, sf, "benchmark").select((F.lit(-1) - F.col("item_id")).cast("long").alias("doc_id"), F.concat(F.lit("bench/"), "item_id").alias("path"), F.col("text").alias("content"))
+    return _scores(search.top(search.bm25(index.build(search.with_overlay(base, new, dead)), QUERY), 10))
+
+
+@query(
+    bm25_sql(
+        QUERY,
+        10,
+        last="""SELECT doc_id, path, round(score, 6) AS score, substring(text, start, 300) AS snippet FROM (
+  SELECT *, CASE WHEN back > 0 THEN lo + length(ahead) - back + 1 ELSE place END AS start FROM (
+    SELECT *, instr(reverse(ahead), chr(10)) AS back FROM (
+      SELECT *, substring(text, lo, place - lo) AS ahead FROM (
+        SELECT *, greatest(1, place - 40) AS lo FROM (
+          SELECT doc_id, path, score, text, greatest(1, instr(lower(text), 'the') - 80) AS place FROM (SELECT * FROM scored ORDER BY score DESC, path LIMIT 10) JOIN documents USING (doc_id))))))""",
+    )
+)
+def search_snippet(spark, sf):
+    return _scores(search.search(_index(spark, sf), corpus(spark, sf), QUERY, 10))
+
+
+@query(bm25_sql(QUERY, 50, last="""SELECT doc_id, path, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, (rank - 1) // 20 AS batch_index, (rank - 1) // 20 = (max(rank) OVER () - 1) // 20 AS is_last
+FROM (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, path LIMIT 50))"""))
+def search_batches(spark, sf):
+    return _scores(search.batches(search.top(search.bm25(_index(spark, sf), QUERY), 50)))
+
+
+@query(bm25_sql(QUERY, 10, last="SELECT to_json({doc_id: doc_id, path: path}) AS json FROM scored ORDER BY score DESC, path LIMIT 10").replace("to_json({", "json_object('doc_id', doc_id, 'path', path)::VARCHAR AS json --{").replace("--{doc_id: doc_id, path: path}) AS json", ""))
+def search_json_rows(spark, sf):
+    return json_rows(search.top(search.bm25(_index(spark, sf), QUERY), 10).select("doc_id", "path"))
+
+
+@query(f"{GRAPH_SQL} SELECT * FROM symbols WHERE name = 'red widget' ORDER BY document_id, line_start, id LIMIT 1")
+def lookup_symbol(spark, sf):
+    return search.lookup(symbols(spark, sf), "red widget")
+
+
+@query("SELECT conv_id, turn, regexp_matches(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '^[A-Za-z0-9_]*[A-Za-z][A-Za-z0-9_]*$') AS identifier FROM conversations")
+def classify_query(spark, sf):
+    return load(spark, sf, "conversations").select("conv_id", "turn", is_identifier(F.col("text")).alias("identifier"))
+
+
+_SIM = "sim AS (SELECT v.vec_id AS doc_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
+
+
+def _similar(spark, sf):
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return search.semantic(v, v.where("doc_id = 0"))
+
+
+@query(f"WITH {_SIM} SELECT doc_id, round(similarity, 6) AS similarity FROM sim WHERE similarity > 0 ORDER BY sim.similarity DESC, doc_id LIMIT 10")
+def semantic_topk(spark, sf):
+    return search.top(_similar(spark, sf), 10, "similarity", "doc_id").withColumn("similarity", r6("similarity"))
+
+
+@query(f"WITH {_SIM} SELECT doc_id, round(similarity, 6) AS similarity FROM sim WHERE similarity > 0")
+def semantic_all(spark, sf):
+    return _similar(spark, sf).withColumn("similarity", r6("similarity"))
+
+
+_HYBRID = f""", {_SIM},
+a AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS ra FROM scored QUALIFY ra <= 50),
+s AS (SELECT doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, doc_id) AS rs FROM sim WHERE similarity > 0 QUALIFY rs <= 50),
+fused AS (SELECT coalesce(a.doc_id, s.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + ra), 0) + coalesce(1.0::DOUBLE / (60 + rs), 0) AS fused, coalesce(score, 0) AS bm25, coalesce(similarity, 0) AS semantic FROM a FULL JOIN s ON a.doc_id = s.doc_id)"""
+_FUSED = "doc_id, round(fused, 6) AS fused, round(bm25, 6) AS bm25, round(semantic, 6) AS semantic"
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+@query(bm25_sql(QUERY, 10, last=f"{_HYBRID[0:0]}SELECT {_FUSED} FROM fused ORDER BY fused.fused DESC, doc_id LIMIT 10").replace("\nSELECT doc_id, round(fused", _HYBRID + "\nSELECT doc_id, round(fused"))
+def hybrid_rrf(spark, sf):
+    both = search.hybrid_search(search.bm25(_index(spark, sf), QUERY), _similar(spark, sf), QUERY, 10)
+    return _rounded(search.top(both, 10, "fused", "doc_id"), "fused", "bm25", "semantic")
+
+
+@query(bm25_sql(IDENTIFIER, 10, last="SELECT doc_id, round(score, 6) AS fused, round(score, 6) AS bm25, 0.0::DOUBLE AS semantic FROM scored ORDER BY score DESC, doc_id LIMIT 10"))
+def hybrid_identifier(spark, sf):
+    both = search.hybrid_search(search.bm25(_index(spark, sf), IDENTIFIER), _similar(spark, sf), IDENTIFIER, 10)
+    return _rounded(search.top(both, 10, "fused", "doc_id"), "fused", "bm25")
+
+
+_TERMS = ["ring", "bolt"]
+_RELATED = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT DISTINCT {b} AS id, confidence FROM edges WHERE confidence >= 0.3 AND {a} IN (SELECT id FROM symbols WHERE contains(lower(name), '{t}')))" for t in _TERMS for a, b in (("src", "dst"), ("dst", "src"))
+)
+_RELATED = f"related AS (SELECT document_id, sum(confidence) AS relevance FROM ({_RELATED}) JOIN symbols USING (id) GROUP BY document_id)"
+_KIND = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in search.KIND_BOOST.items()) + " ELSE 0.8::DOUBLE END"
+
+
+@query(f"{GRAPH_SQL}, {_RELATED} SELECT document_id, round(relevance, 6) AS relevance FROM related")
+def related_documents(spark, sf):
+    return search.related(symbols(spark, sf), edges(spark, sf), _TERMS).withColumn("relevance", r6("relevance"))
+
+
+@query(f"{GRAPH_SQL} SELECT document_id, max({_KIND}) AS boost FROM symbols GROUP BY document_id")
+def kind_boosts(spark, sf):
+    return search.kind_boosts(symbols(spark, sf))
+
+
+@query(
+    bm25_sql(
+        QUERY,
+        10,
+        last=f"""SELECT doc_id, round(fused, 6) AS fused, round(graph, 6) AS graph, kind, round(score, 6) AS score FROM (
+  SELECT f.doc_id, fused, coalesce(relevance, 0) AS graph, coalesce(boost, 1.0::DOUBLE) AS kind, fused * (1 + 0.15 * coalesce(relevance, 0) + 0.10 * (coalesce(boost, 1.0::DOUBLE) - 1)) AS score
+  FROM (SELECT * FROM fused ORDER BY fused DESC, doc_id LIMIT 30) f LEFT JOIN related r ON r.document_id = f.doc_id
+  LEFT JOIN (SELECT document_id, max({_KIND}) AS boost FROM symbols WHERE contains(lower(name), 'ring') OR contains(lower(name), 'bolt') GROUP BY document_id) k ON k.document_id = f.doc_id
+) m ORDER BY m.score DESC, doc_id LIMIT 10""",
+    ).replace("\nSELECT doc_id, round(fused", _HYBRID.replace("LIMIT 10", "LIMIT 30").replace("<= 50", "<= 90") + f", {SYMBOLS_SQL}, {EDGES_SQL}, {_RELATED}\nSELECT doc_id, round(fused")
+)
+def multi_signal(spark, sf):
+    fused = search.hybrid_search(search.bm25(_index(spark, sf), QUERY), _similar(spark, sf), QUERY, 30)
+    return _rounded(search.multi_signal(fused, symbols(spark, sf), edges(spark, sf), _TERMS, 10), "fused", "graph", "score")
+
+
+# -- embeddings ---------------------------------------------------------------------------
+
+_GRAMS = "list_concat(" * 3 + ", ".join(
+    [f"CASE WHEN length(tok) >= {n} THEN list_transform(generate_series(1, length(tok) - {n - 1}), lambda i: substring(tok, i, {n})) ELSE [] END" + ")" * (k > 0) for k, n in enumerate((3, 4, 5, 6))]
+)
+_EMBED = f"""g AS (SELECT token, {_GRAMS} AS g FROM (SELECT DISTINCT token, left(lower(token), 256) AS tok FROM t)),
+hits AS (SELECT DISTINCT token, len(g) AS n, CAST(('0x' || substr(md5(x), 1, 8))::UBIGINT % 384 AS INTEGER) AS slot FROM (SELECT token, g, unnest(g) AS x FROM g)),
+raw AS (SELECT id, slot, sum(c * 1.0::DOUBLE / hits.n) AS w FROM (SELECT id, token, count(*) AS c FROM t GROUP BY id, token) JOIN hits USING (token) GROUP BY id, slot)"""
+_UNIT = "SELECT id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw"
+
+
+@query(f"WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS token FROM benchmark), {_EMBED} {_UNIT}")
+def embed_text_slots(spark, sf):
+    return vectors.embed_text(load(spark, sf, "benchmark"), "item_id", "text").withColumn("weight", r6("weight"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT id, unnest([name]) AS token FROM (SELECT c_custkey AS id, c_name || 'ItemKey_last' AS name FROM customer) UNION ALL SELECT id, unnest(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '_+', ' ', 'g'), ' '), lambda x: x <> '')[1:16]) FROM (SELECT c_custkey AS id, c_name || 'ItemKey_last' AS name FROM customer)), {_EMBED} {_UNIT}")
+def embed_identifiers(spark, sf):
+    return vectors.embed_identifier(load(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit("ItemKey_last")).alias("name")), "c_custkey", "name").withColumn("weight", r6("weight"))
+
+
+@query("SELECT page_id, left(array_to_string(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(ltrim(x), '^(//|/\\*|\\*)')), chr(10)), 4096) AS comments, md5(left(lower(array_to_string(regexp_extract_all(html, '[A-Za-z0-9_]+'), ' ')), 4096)) AS code FROM pages")
+def comment_and_code_tokens(spark, sf):
+    return load(spark, sf, "pages").select("page_id", extract.comments(F.col("html")).alias("comments"), F.md5(extract.code_tokens(F.col("html")).cast("binary")).alias("code"))
+
+
+# -- graph --------------------------------------------------------------------------------
+
+
+@query(f"{GRAPH_SQL} SELECT s.id, s.name, s.kind, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM (SELECT * FROM symbols WHERE name ILIKE '%ring%' AND kind = 'function' ORDER BY name, id LIMIT 20) s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.id LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = s.id")
+def search_graph(spark, sf):
+    return graph.search_graph(symbols(spark, sf), edges(spark, sf), "Ring", "function")
+
+
+@query(f"""WITH {SYMBOLS_SQL}, s AS (SELECT * FROM symbols WHERE name = 'red widget' ORDER BY id LIMIT 1)
+SELECT id, name, CAST(greatest(1, line_start - 5) AS INTEGER) AS first_line, array_to_string(string_split(text, chr(10))[greatest(1, line_start - 5) : line_end + 5], chr(10)) AS code FROM s JOIN documents ON doc_id = document_id""")
+def code_snippet_lines(spark, sf):
+    return graph.code_snippet(symbols(spark, sf), corpus(spark, sf).select(F.col("doc_id").alias("document_id"), "content"), "red widget")
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT kind, count(*) AS n FROM symbols GROUP BY kind ORDER BY kind LIMIT 20")
+def sql_passthrough(spark, sf):
+    return sqlquery.run(spark, "SELECT kind, count(*) AS n FROM symbols GROUP BY kind ORDER BY kind;", {"symbols": symbols(spark, sf)})
+
+
+def _cypher(text):
+    return lambda spark, sf: cypher.run(text, symbols(spark, sf), edges(spark, sf))
+
+
+query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, b.name AS name FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst WHERE a.kind = 'function' ORDER BY a, b LIMIT 100", "cypher_one_hop")(
+    _cypher("MATCH (a:Function)-[:CALLS]->(b) RETURN a.id AS a, b.id AS b, b.name AS name ORDER BY a, b")
+)
+query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, c.id AS c FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst JOIN edges f ON f.dst = b.id JOIN symbols c ON c.id = f.src WHERE a.id < 20 AND c.kind = 'module' ORDER BY a, b, c LIMIT 200", "cypher_two_hop")(
+    _cypher("MATCH (a)-[r:CALLS]->(b)<-[s:CALLS]-(c:module) WHERE a.id < 20 RETURN a.id AS a, b.id AS b, c.id AS c ORDER BY a, b, c LIMIT 500")
+)
+query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, round(e.confidence, 6) AS w FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst WHERE (NOT a.kind = 'function' AND e.confidence >= 0.95) OR b.name = 'red widget' AND a.line_start <> 7 ORDER BY b.id DESC, a LIMIT 50", "cypher_where_order")(
+    lambda spark, sf: _rounded(_cypher("match (a)-[e]->(b) WHERE NOT a.kind = 'function' AND e.confidence >= 0.95 OR b.name = 'red widget' AND a.line_start <> 7 RETURN a.id AS a, b.id AS b, e.confidence AS w ORDER BY b.id DESC, a LIMIT 50")(spark, sf), "w")
+)
+
+_NEAR = {
+    "outbound": "SELECT src AS a, dst AS b, confidence, 'outbound' AS direction FROM edges",
+    "inbound": "SELECT dst AS a, src AS b, confidence, 'inbound' AS direction FROM edges",
+}
+_NEAR["both"] = f"{_NEAR['outbound']} UNION ALL {_NEAR['inbound']}"
+
+
+def _trace_sql(direction: str, last: str, depth: int = 2) -> str:
+    return f"""WITH RECURSIVE {EDGES_SQL}, near AS (SELECT * FROM ({_NEAR[direction]}) QUALIFY row_number() OVER (PARTITION BY direction, a ORDER BY confidence DESC, b) <= 50),
+walk AS (SELECT {START}::BIGINT AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN near ON a = id WHERE depth < {depth}),
+seen AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id) {last}"""
+
+
+for _d in ("outbound", "inbound", "both"):
+    query(_trace_sql(_d, "SELECT id, depth FROM seen"), f"trace_{_d}")(lambda spark, sf, d=_d: graph.trace(edges(spark, sf), START, 2, d)[0])
+
+
+@query(_trace_sql("both", "SELECT a, b, round(confidence, 6) AS confidence, direction, seen.depth FROM seen JOIN near ON a = id WHERE seen.depth < 2"))
+def trace_edges(spark, sf):
+    return graph.trace(edges(spark, sf), START, 2, "both")[1].withColumn("confidence", r6("confidence"))
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, goal AS (SELECT max(p_partkey) AS id FROM part),
+walk AS (SELECT {START}::BIGINT AS id, 1.0::DOUBLE AS confidence, [{START}::BIGINT] AS path UNION ALL SELECT dst, walk.confidence * edges.confidence, list_append(path, dst) FROM walk JOIN edges ON src = id WHERE len(path) <= 3 AND NOT list_contains(path, dst))
+SELECT TRUE AS found, CAST(len(path) - 1 AS INTEGER) AS hops, round(confidence, 6) AS confidence, array_to_string(path, '>') AS path FROM walk WHERE id = (SELECT id FROM goal) ORDER BY len(path), round(walk.confidence, 9) DESC, walk.path LIMIT 1"""
+)
+def trace_path(spark, sf):
+    """From the first part to the last."""
+    goal = load(spark, sf, "part").agg(F.max("p_partkey")).first()[0]
+    return graph.trace_path(edges(spark, sf), START, goal, 3).withColumn("confidence", r6("confidence")).withColumn("path", F.array_join("path", ">"))
+
+
+_DEGREE = "degree AS (SELECT s.*, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM symbols s LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = s.id LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.id)"
+
+
+@query(f"{GRAPH_SQL}, {_DEGREE} SELECT *, fan_in + fan_out AS degree FROM degree WHERE fan_in + fan_out > 0 ORDER BY degree DESC, id LIMIT 20")
+def centrality(spark, sf):
+    return graph.centrality(symbols(spark, sf), edges(spark, sf), 20)
+
+
+@query(f"{GRAPH_SQL}, {_DEGREE} SELECT id, fan_in, fan_out FROM degree")
+def degrees(spark, sf):
+    return graph.degrees(symbols(spark, sf), edges(spark, sf)).select("id", "fan_in", "fan_out")
+
+
+@query(f"{GRAPH_SQL} SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges")
+def arch_totals(spark, sf):
+    return graph.architecture(graph_documents(spark, sf), symbols(spark, sf), edges(spark, sf))
+
+
+@query(f"WITH {CORPUS_SQL}, {SYMBOLS_SQL} SELECT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1) ELSE '.' END AS module, count(DISTINCT doc_id) AS files, count(s.id) AS symbols FROM corpus LEFT JOIN symbols s ON s.document_id = doc_id GROUP BY module ORDER BY symbols DESC, module LIMIT 20")
+def arch_modules(spark, sf):
+    return graph.modules(graph_documents(spark, sf), symbols(spark, sf))
+
+
+@query(f"{GRAPH_SQL} SELECT * FROM symbols WHERE kind IN ('function', 'method') AND id NOT IN (SELECT dst FROM edges) ORDER BY name, id LIMIT 20")
+def entry_points(spark, sf):
+    return graph.entry_points(symbols(spark, sf), edges(spark, sf))
+
+
+for _side in ("fan_out", "fan_in"):
+    query(f"{GRAPH_SQL}, {_DEGREE} SELECT id, name, {_side} FROM degree WHERE {_side} > 0 ORDER BY {_side} DESC, id LIMIT 10", _side)(lambda spark, sf, s=_side: graph.fan(symbols(spark, sf), edges(spark, sf), s))
+
+
+@query(f"{GRAPH_SQL}, {_DEGREE} SELECT id, name, kind, fan_in, fan_out, fan_in + fan_out AS total FROM degree WHERE fan_in + fan_out > 0 ORDER BY total DESC, id LIMIT 50")
+def hotspots(spark, sf):
+    return graph.hotspots(symbols(spark, sf), edges(spark, sf))
+
+
+@query(f"{GRAPH_SQL} SELECT total, external, total - external AS internal, coalesce(external::DOUBLE / nullif(total, 0), 0) AS ratio FROM (SELECT count(*) AS total, CAST(coalesce(sum(CASE WHEN a.document_id <> b.document_id THEN 1 ELSE 0 END), 0) AS BIGINT) AS external FROM edges LEFT JOIN symbols a ON a.id = src LEFT JOIN symbols b ON b.id = dst)")
+def module_coupling(spark, sf):
+    return graph.coupling(symbols(spark, sf), edges(spark, sf))
+
+
+@query(f"""{GRAPH_SQL}, d AS (SELECT src, sum(confidence) AS d FROM edges GROUP BY src), m AS (SELECT sum(confidence) AS m FROM edges), side AS (SELECT id, coalesce(community_id, -1) AS c, coalesce(d, 0) AS d FROM symbols LEFT JOIN d ON src = id)
+SELECT round(sum(CASE WHEN a.c = b.c THEN confidence - a.d * b.d / (2 * m) ELSE 0 END) / (2 * any_value(m)), 6) AS modularity FROM edges JOIN side a ON a.id = src JOIN side b ON b.id = dst, m""")
+def modularity_fixed(spark, sf):
+    part = symbols(spark, sf).select("id", F.coalesce("community_id", F.lit(-1)).alias("community"))
+    return graph.modularity(edges(spark, sf), part).withColumn("modularity", r6("modularity"))
+
+
+@query()
+def leiden(spark, sf):
+    return graph.communities(symbols(spark, sf).select("id"), edges(spark, sf), sweeps=5)
+
+
+@query(f"""WITH {SYMBOLS_SQL}, top AS (SELECT community_id, count(*) AS size FROM symbols WHERE community_id IS NOT NULL GROUP BY community_id ORDER BY size DESC, community_id LIMIT 20)
+SELECT community_id, size, array_to_string(list_transform(list_sort(members)[1:5], lambda x: x.name), ',') AS sample FROM top JOIN (SELECT community_id, list({{name: name, id: id}}) AS members FROM symbols GROUP BY community_id) USING (community_id)""")
+def list_communities(spark, sf):
+    return graph.list_communities(symbols(spark, sf))
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT id, name FROM symbols WHERE community_id = 2")
+def community_members(spark, sf):
+    return symbols(spark, sf).where("community_id = 2").select("id", "name")
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT id, community_id FROM symbols")
+def symbol_community(spark, sf):
+    return symbols(spark, sf).select("id", "community_id")
+
+
+# -- maintenance --------------------------------------------------------------------------
+
+
+def _stored(spark, sf):
+    """What was indexed before: the labelled documents, toxic ones at another time, and the benchmark's items, gone since."""
+    lab = load(spark, sf, "labels").select("doc_id", "toxic")
+    old = corpus(spark, sf).join(lab, "doc_id").select("path", (F.col("mtime") - F.col("toxic")).alias("mtime"))
+    return old.unionByName(load(spark, sf, "benchmark").select(F.concat(F.lit("bench/"), "item_id").alias("path"), F.lit(0).cast("long").alias("mtime")))
+
+
+_STORED = f"{CORPUS_SQL}, stored AS (SELECT path, mtime - toxic AS mtime FROM corpus JOIN labels USING (doc_id) UNION ALL SELECT concat('bench/', item_id), 0 FROM benchmark)"
+_CHANGES = f"{_STORED}, changes AS (SELECT path, change FROM (SELECT coalesce(c.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN c.mtime IS DISTINCT FROM s.mtime THEN 'modified' END AS change FROM corpus c FULL JOIN stored s ON c.path = s.path) WHERE change IS NOT NULL)"
+
+
+@query(f"WITH {_CHANGES} SELECT * FROM changes")
+def detect_changes(spark, sf):
+    return incremental.diff(corpus(spark, sf), _stored(spark, sf))
+
+
+@query(f"""{GRAPH_SQL}, {_CHANGES}, gone AS (SELECT s.id FROM symbols s JOIN corpus ON doc_id = document_id JOIN changes USING (path) WHERE change IN ('modified', 'deleted'))
+SELECT (SELECT count(*) FROM corpus WHERE path NOT IN (SELECT path FROM changes WHERE change <> 'added')) AS documents, (SELECT count(*) FROM symbols WHERE id NOT IN (SELECT id FROM gone)) AS symbols,
+count(*) AS edges FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""")
+def apply_changes(spark, sf):
+    docs, s, e = graph_documents(spark, sf), symbols(spark, sf), edges(spark, sf)
+    changes = incremental.diff(corpus(spark, sf), _stored(spark, sf))
+    return graph.architecture(*incremental.apply(docs, s, e, changes, docs.limit(0), s.limit(0), e.limit(0))).withColumnRenamed("files", "documents")
+
+
+@query(f"""WITH {CORPUS_SQL}, cur AS (SELECT path, md5(content) AS hash FROM corpus), base AS (SELECT path, md5(CASE WHEN toxic = 1 THEN content || '!' ELSE content END) AS hash FROM corpus JOIN labels USING (doc_id) UNION ALL SELECT concat('bench/', item_id), md5(text) FROM benchmark)
+SELECT 'overlay' AS side, path FROM cur WHERE (path, hash) NOT IN (SELECT path, hash FROM base) UNION ALL SELECT 'tombstone', path FROM base WHERE (path, hash) NOT IN (SELECT path, hash FROM cur)""")
+def overlay_rebuild(spark, sf):
+    c = corpus(spark, sf)
+    cur = c.select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
+    old = F.when(F.col("toxic") == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    base = c.join(load(spark, sf, "labels"), "doc_id").select("path", F.md5(old.cast("binary")).alias("hash"))
+    base = base.unionByName(load(spark, sf, "benchmark").select(F.concat(F.lit("bench/"), "item_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("hash")))
+    new, dead = incremental.overlay(cur, base)
+    return new.select(F.lit("overlay").alias("side"), "path").unionByName(dead.select(F.lit("tombstone").alias("side"), "path"))
+
+
+@query(f"{GRAPH_SQL}, {CORPUS_SQL} SELECT language, count(*) AS files, (SELECT count(*) FROM corpus) AS total_files, (SELECT max(mtime) FROM corpus) AS last_indexed, (SELECT count(*) FROM symbols) AS total_symbols, (SELECT count(*) FROM edges) AS total_edges FROM corpus GROUP BY language")
+def index_status(spark, sf):
+    return ops.index_status(graph_documents(spark, sf), symbols(spark, sf), edges(spark, sf))
+
+
+@query(f"{GRAPH_SQL} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS symbols, count(DISTINCT community_id) AS communities, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM embeddings) AS embeddings, 'healthy' AS status FROM symbols")
+def health_check(spark, sf):
+    return ops.health(graph_documents(spark, sf), symbols(spark, sf), edges(spark, sf), load(spark, sf, "embeddings"))
+
+
+@query(f"{GRAPH_SQL} SELECT 'documents' AS table_name, count(*) AS row_count FROM documents UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'document_embeddings', count(*) FROM embeddings")
+def graph_schema(spark, sf):
+    return ops.graph_schema({"documents": graph_documents(spark, sf), "symbols": symbols(spark, sf), "edges": edges(spark, sf), "document_embeddings": load(spark, sf, "embeddings")})
+
+
+# -- extraction ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH l AS (SELECT page_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS x FROM (SELECT page_id, string_split(html, chr(10)) AS x FROM pages)),
+w AS (SELECT page_id, line, x, regexp_extract(x, 'fn ([A-Za-z_][A-Za-z0-9_]*)', 1) AS f, regexp_extract(x, 'const ([A-Za-z_][A-Za-z0-9_]*)', 1) AS c, regexp_extract(x, 'var ([A-Za-z_][A-Za-z0-9_]*)', 1) AS v, regexp_extract(x, '@import\\("([^"]*)"\\)', 1) AS m FROM l)
+SELECT page_id AS doc_id, line, CASE WHEN f <> '' THEN 'function' WHEN c <> '' THEN CASE WHEN regexp_matches(x, 'const .*=.*struct') THEN 'struct_type' ELSE 'const_value' END WHEN v <> '' THEN 'variable' ELSE 'module' END AS kind,
+coalesce(nullif(f, ''), nullif(c, ''), nullif(v, ''), m) AS name FROM w WHERE f || c || v || m <> ''"""
+)
+def parse_symbols(spark, sf):
+    return extract.parse_lines(load(spark, sf, "pages"), "page_id", "html")
+
+
+_ROUTE_TEXT = """CASE page_id % 7 WHEN 0 THEN 'app.get(''' || url || ''', f)' WHEN 1 THEN 'router.post( "' || url || '")' WHEN 2 THEN '@app.route(''' || url || ''')' WHEN 3 THEN '@router.put("' || url || '")' WHEN 4 THEN 'mux.HandleFunc("' || url || '", h)' WHEN 5 THEN '#[get("' || url || '")]' ELSE 'Route::any(''' || url || ''', x)' END"""
+
+
+@query(
+    f"WITH t AS (SELECT page_id, {_ROUTE_TEXT} AS code FROM pages) SELECT doc_id, framework, route, 'http_calls' AS edge_type, 0.8::DOUBLE AS confidence FROM ("
+    + " UNION ALL ".join(f"SELECT page_id AS doc_id, '{k}' AS framework, unnest(regexp_extract_all(code, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS route FROM t" for k, (p, _) in extract.ROUTES.items())
+    + ") WHERE length(route) BETWEEN 1 AND 255"
+)
+def http_routes(spark, sf):
+    """Every page's address as a route in one of seven frameworks' notation."""
+    forms = ("app.get('%s', f)", 'router.post( "%s")', "@app.route('%s')", '@router.put("%s")', 'mux.HandleFunc("%s", h)', '#[get("%s")]', "Route::any('%s', x)")
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        head, tail = form.split("%s")
+        text = F.when(F.col("page_id") % 7 == k, F.concat(F.lit(head), "url", F.lit(tail))).otherwise(text)
+    return extract.routes(load(spark, sf, "pages").select("page_id", text.alias("code")), "page_id", "code")
+
+
+@query("""WITH o AS (SELECT c_name AS source, lead(c_name) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS target FROM customer)
+SELECT a.c_custkey AS src, b.c_custkey AS dst, 'calls' AS edge_type, 1.0::DOUBLE AS confidence FROM o JOIN customer a ON a.c_name = source JOIN customer b ON b.c_name = target""")
+def edge_resolution(spark, sf):
+    """Customers call the next one of their nation, by name."""
+    from pyspark.sql import Window
+
+    c = load(spark, sf, "customer")
+    named = c.select(F.col("c_name").alias("source"), F.lead("c_name").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("target"), F.lit("calls").alias("edge_type"), F.lit(1.0).alias("confidence"))
+    return extract.resolve(named.where("target IS NOT NULL"), c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\bthe\b')) AS BIGINT) AS occurrences, md5(regexp_replace(text, '\bthe\b', 'THE_$1', 'g')) AS digest FROM documents WHERE regexp_matches(text, '\bthe\b')")
+def rename_preview(spark, sf):
+    return ops.rename_preview(corpus(spark, sf), "the", "THE_$1")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS title, 'accepted' AS status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F' ORDER BY created_at DESC, id DESC LIMIT 20")
+def adr_log(spark, sf):
+    o = load(spark, sf, "orders")
+    adrs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("proposed").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return ops.decisions(adrs, "accepted")
+
+
+@query("""WITH s AS (SELECT event_type AS callee, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS caller, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT caller, callee, count(*) AS calls, CAST(sum(k) AS BIGINT) AS payload FROM s WHERE caller IS NOT NULL GROUP BY caller, callee""")
+def ingest_traces(spark, sf):
+    return ops.trace_edges(load(spark, sf, "events"))
+
+
+# -- text analytics -----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens FROM documents")
+def estimate_tokens(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", code.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn AS pos, role AS title, text AS content, CASE role WHEN 'user' THEN 9 ELSE 7 END AS priority, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens FROM conversations),
+b AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY priority DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM s)
+SELECT conv_id, priority, pos, title, md5(content) AS digest, CAST(ceil(length(coalesce(content, '')) / 4) AS BIGINT) AS tokens FROM (SELECT conv_id, priority, pos, title, CASE WHEN tokens > 450 - before THEN left(content, (450 - before) * 4) ELSE content END AS content FROM b WHERE before < 450)"""
+)
+def pack_context(spark, sf):
+    out = context.pack(_sections(spark, sf), 500, 50, "conv_id")
+    return out.select("conv_id", "priority", "pos", "title", F.md5(F.col("content").cast("binary")).alias("digest"), "tokens")
+
+
+def _sections(spark, sf):
+    c = load(spark, sf, "conversations")
+    return c.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("title"), F.col("text").alias("content"), F.when(F.col("role") == "user", 9).otherwise(7).alias("priority"))
+
+
+@query("SELECT conv_id, md5(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY CASE role WHEN 'user' THEN 9 ELSE 7 END DESC, turn)) AS digest FROM conversations GROUP BY conv_id")
+def context_markdown(spark, sf):
+    return context.markdown(_sections(spark, sf), "conv_id").select("conv_id", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+_ASKS = """(SELECT conv_id, turn, CASE conv_id % 8 WHEN 0 THEN 'Where is ' WHEN 1 THEN 'Who calls ' WHEN 2 THEN 'Explain the top 5 of ' WHEN 3 THEN 'Refactor ' WHEN 4 THEN 'Error in file_pool.zig *.zig in module core.x and ' WHEN 5 THEN 'Overview in javascript of ' WHEN 6 THEN 'first 12 in java: ' ELSE '' END || text AS q FROM conversations)"""
+
+
+def _asks(spark, sf):
+    lead = F.lit("")
+    for k, v in enumerate(("Where is ", "Who calls ", "Explain the top 5 of ", "Refactor ", "Error in file_pool.zig *.zig in module core.x and ", "Overview in javascript of ", "first 12 in java: ")):
+        lead = F.when(F.col("conv_id") % 8 == k, v).otherwise(lead)
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("q"))
+
+
+@query(f"SELECT conv_id, turn, {nl.intent_sql('lower(q)')} AS intent FROM {_ASKS}")
+def intent_detect(spark, sf):
+    return _asks(spark, sf).select("conv_id", "turn", nl.intent(F.col("q")).alias("intent"))
+
+
+@query("SELECT conv_id, turn, array_to_string(CASE intent " + " ".join(f"WHEN '{k}' THEN string_split('{v}', ' ')" for k, v in nl.TOOLS.items()) + f" END, ',') AS tools FROM (SELECT conv_id, turn, {nl.intent_sql('lower(q)')} AS intent FROM {_ASKS})")
+def suggest_tools(spark, sf):
+    return _asks(spark, sf).select("conv_id", "turn", F.array_join(nl.tools(nl.intent(F.col("q"))), ",").alias("tools"))
+
+
+_LANG = "CASE " + " ".join(f"WHEN contains(l, 'in {x}') THEN '{x.strip()}'" for x in nl.LANGUAGES) + " END"
+_MODULE = "CASE " + " ".join(f"WHEN contains(l, '{k}') THEN nullif(regexp_extract(l, '{k}([^ ,.]*)', 1), '')" for k in ("in module ", "in directory ", "in dir ", "in file ")) + " END"
+_TOP = "CASE " + " ".join(f"WHEN contains(l, '{k}') THEN nullif(regexp_extract(l, '{k}([0-9]*)', 1), '')" for k in ("top ", "first ")) + " END"
+
+
+@query(f"""SELECT conv_id, turn, kind, value FROM (SELECT conv_id, turn, unnest(['language', 'module', 'file_pattern', 'max_results']) AS kind, unnest([{_LANG}, {_MODULE}, nullif(regexp_extract(l, '(\\*\\.[a-z0-9*]*)', 1), ''), {_TOP}]) AS value FROM (SELECT conv_id, turn, lower(q) AS l FROM {_ASKS})) WHERE value IS NOT NULL""")
+def extract_constraints(spark, sf):
+    return _asks(spark, sf).select("conv_id", "turn", F.explode(nl.constraints(F.col("q"))).alias("c")).select("conv_id", "turn", "c.kind", "c.value")
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(q, '[A-Za-z_][A-Za-z0-9_.]*'), lambda w: length(w) >= 2 AND regexp_matches(w, '[A-Z_]') AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in sorted(nl.STOP)) + f")))), ',') AS symbols FROM {_ASKS}")
+def extract_query_symbols(spark, sf):
+    return _asks(spark, sf).select("conv_id", "turn", F.array_join(F.array_sort(nl.symbols(F.col("q"))), ",").alias("symbols"))
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, list_filter(list_transform(string_split(html, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') AS x FROM pages)
+SELECT page_id, CAST(len(x) AS BIGINT) AS code_lines, CAST(len(list_filter(x, lambda y: regexp_matches(y, '{code.BRANCH}'))) AS BIGINT) AS branches FROM t"""
+)
+def complexity_lines(spark, sf):
+    return load(spark, sf, "pages").select("page_id", code.code_lines(F.col("html")).alias("code_lines"), code.branches(F.col("html")).alias("branches"))
+
+
+@query()
+def complexity(spark, sf):
+    return load(spark, sf, "pages").select("page_id", r6(code.complexity(F.col("html"))).alias("complexity"))
+
+
+@query()
+def summaries(spark, sf):
+    pages = load(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"), F.lit("module").alias("kind"), F.col("html").alias("code"))
+    return context.summarize(pages)
+
+
+_RULES = ["*.md", "!keep.md", "src1*/**", "src2/?", "**/7*"]
+_PATHS = "(SELECT doc_id, concat(source, '/', doc_id, CASE doc_id % 4 WHEN 0 THEN '.zig' WHEN 1 THEN '.md' WHEN 2 THEN '' ELSE '/keep.md' END) AS path FROM documents)"
+
+
+def _paths(spark, sf):
+    end = F.when(F.col("doc_id") % 4 == 0, ".zig").when(F.col("doc_id") % 4 == 1, ".md").when(F.col("doc_id") % 4 == 2, "").otherwise("/keep.md")
+    return load(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", end).alias("path"))
+
+
+@query(f"SELECT doc_id, path, CASE " + " ".join(f"WHEN regexp_matches(path, '{code.glob_regex(r.lstrip('!'))}') THEN {'FALSE' if r[0] == '!' else 'TRUE'}" for r in reversed(_RULES)) + f" ELSE FALSE END AS ignored FROM {_PATHS}")
+def ignore_filter(spark, sf):
+    return _paths(spark, sf).withColumn("ignored", code.ignored(F.col("path"), _RULES))
+
+
+@query(f"SELECT doc_id, CASE WHEN suffix(path, '.zig') THEN 'zig' END AS language, regexp_matches(path, '\\.(zig|md)$') AS is_source FROM {_PATHS}")
+def detect_language(spark, sf):
+    return _paths(spark, sf).select("doc_id", code.language(F.col("path")).alias("language"), code.is_source(F.col("path")).alias("is_source"))
+
+
+# -- streams ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CHANGES} SELECT * FROM changes")
+def watch_diff(spark, sf):
+    """Two snapshots as micro-batches of a file stream; the second one's differences to the first."""
+    root = _scratch(spark)
+    seen = []
+    for n, snapshot in enumerate((_stored(spark, sf), corpus(spark, sf).select("path", "mtime"))):
+        snapshot.coalesce(1).write.parquet(f"{root}/in/{n}")
+        stream = spark.readStream.schema("path string, mtime long").option("recursiveFileLookup", True).parquet(f"{root}/in")
+        watcher.watch(stream, f"{root}/state", lambda d, k: d.write.mode("overwrite").parquet(f"{root}/out/{k}"), f"{root}/checkpoint", once=True).awaitTermination()
+        seen.append(n)
+    return spark.read.parquet(f"{root}/out/{seen[-1]}")
+
+
+def _scratch(spark) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return f"{base}/watch-{uuid.uuid4().hex}"
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
+def stream_windows(spark, sf):
+    return watcher.windowed(load(spark, sf, "events")).select("start", "event_type", "n", F.round("value", 2).alias("value"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS cut FROM events),
+g AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM g GROUP BY user_id, g""")
+def stream_sessions(spark, sf):
+    return watcher.sessions(load(spark, sf, "events"))
