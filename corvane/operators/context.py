@@ -35,7 +35,7 @@ def markdown(sections: DataFrame, group: str | None = None) -> DataFrame:
 def summarize(symbols: DataFrame) -> DataFrame:
     """Summaries of (id, name, kind, code): signature, purpose (the first comment line), key operations (called names in order of appearance), dependencies, complexity."""
     lines = F.split("code", "\n", -1)
-    signature = F.trim(F.regexp_replace(F.element_at(F.filter(lines, lambda x: F.trim(x) != ""), 1), r"\s*\{?\s*$", ""))
+    signature = F.trim(F.regexp_replace(F.coalesce(F.get(F.filter(lines, lambda x: F.trim(x) != ""), F.lit(0)), F.lit("")), r"\s*\{?\s*$", ""))
     purpose = F.trim(F.regexp_replace(F.get(F.filter(lines, lambda x: F.ltrim(x).rlike("^(///|//|#|\\*)")), F.lit(0)), r"^\s*(///?|#|\*)+", ""))
     calls = F.array_distinct(F.regexp_extract_all("code", F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\s*\("), F.lit(1)))
     needs = F.array_distinct(F.concat(F.regexp_extract_all("code", F.lit(r'@import\("([^"]+)"\)'), F.lit(1)), F.regexp_extract_all("code", F.lit(r"(?m)^\s*(?:import|from|use)\s+([A-Za-z_][\w.:]*)"), F.lit(1))))
