@@ -18,11 +18,14 @@ bucket's first member (or to a later one where the sizes alone rule out a link),
 and so linear in the bucket. Pairs whose 32 minhashes agree in fewer than
 ``AGREE`` bytes are screened out (a link of 0.85 fails with probability below 1e-5). Of the
 rest each member's best is verified: round one. After it, only buckets that hold different
-components matter; round two screens and verifies the pairs across components, so no pair
-of a bucket stays undecided.
+components matter; their members whose sketches allow a link across components form families (again
+by a forest of each bucket, not by pairs), and round two compares the members of a family
+that are in different components, so no pair of a bucket stays undecided.
 
-*Verification* sends each member's set once to its centre's task (a centre with many
-members is spread over salts), where the centre's set alone is held.
+*Verification.* Round one sends each member's set once to its centre's task (a centre with
+many members is spread over salts), where the centre's set alone is held. Round two sends each
+set once to its family's task; a family of more than ``BLOCK_BYTES`` of sets is split into
+groups, and each pair of groups is a cell of its own, so a task holds at most two groups.
 
 Defined results: documents without words or with null text have an empty set and link with
 nothing, as do rows with null doc_id (component null, kept); rows that share a doc_id are one node;
@@ -46,6 +49,7 @@ HASHES = 2 * BANDS * ROWS
 AGREE = 17
 PERCENT = 85
 SALT_PAIRS = 2048
+BLOCK_BYTES = 16 << 20
 BROADCAST_ROWS = 500_000
 _rng = np.random.RandomState(85)
 _XOR = _rng.randint(0, 1 << 62, HASHES).astype(np.uint64)
@@ -163,10 +167,10 @@ def _screen(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(k[k >= AGREE])], names=["u", "v", "k"])
 
 
-def _across(percent: int):
+def _forest(percent: int):
     def run(batches):
-        """From (key, n, v, c, sketch) in order of key, n, v: pairs of a bucket in different components c whose sizes and sketches allow a link. Members too small for the current one leave memory."""
-        key, held = None, None
+        """From (key, n, v, c, sketch) in order of key, n, v: edges that join all members of a bucket between which some pair in different components c has sizes and sketches that allow a link. At most one edge a member and tree it joins; members too small for the current one leave memory."""
+        key, held, tree = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -179,21 +183,79 @@ def _across(percent: int):
                     j = min(b, i + 256)
                     now = (n[i:j], v[i:j], c[i:j], sk[i:j])
                     if ks[a] != key:
-                        key, held = ks[a], tuple(x[:0] for x in now)
+                        key, held, tree = ks[a], tuple(x[:0] for x in now), np.zeros(0, np.int64)
                     keep = 100 * held[0] >= percent * n[i]
                     held = tuple(np.concatenate([x[keep], y]) for x, y in zip(held, now))
+                    tree = np.concatenate([tree[keep], now[1]])
                     base = len(held[0]) - (j - i)
+                    may = np.zeros((j - i, len(held[0])), bool)
                     for at in range(0, len(held[0]), 4096):
                         h = tuple(x[at : at + 4096] for x in held)
-                        ok = (h[2][:, None] != now[2][None]) & (100 * h[0][:, None] >= percent * now[0][None]) & (np.arange(at, at + len(h[0]))[:, None] < base + np.arange(j - i)[None])
-                        p, q = np.nonzero(ok)
-                        if len(p):
-                            good = (h[3][p] == now[3][q]).sum(1) >= AGREE
-                            x, y = h[1][p[good]], now[1][q[good]]
-                            us.append(np.minimum(x, y))
-                            vs.append(np.maximum(x, y))
+                        ok = (now[2][:, None] != h[2][None]) & (100 * h[0][None] >= percent * now[0][:, None]) & (np.arange(at, at + len(h[0]))[None] < base + np.arange(j - i)[:, None])
+                        q, p = np.nonzero(ok)
+                        may[q, at + p] = (now[3][q] == h[3][p]).sum(1) >= AGREE
+                    for q in np.flatnonzero(may.any(1)).tolist():
+                        own = tree[base + q]
+                        for root in np.unique(tree[may[q]]).tolist():
+                            if root != own:
+                                us.append(held[1][base + q])
+                                vs.append(root)
+                                tree[tree == root] = own
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], names=["u", "v"])
+
+    return run
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _cells(percent: int):
+    def run(batches):
+        """From (family, a, b, g, m, c, sketch, items) in order of the first three: links (u, v) that join components, of pairs in different components."""
+        key, held = None, []
+
+        def done():
+            if len(held) < 2:
+                return None
+            held.sort(key=lambda h: (len(h[4]), h[1]))
+            sets = [np.frombuffer(h[4], np.uint64) for h in held]
+            n = np.array([len(x) for x in sets])
+            g, m = (np.array([h[i] for h in held]) for i in (0, 1))
+            label = np.unique([h[2] for h in held], return_inverse=True)[1]
+            sk = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, HASHES)
+            us, vs = [], []
+            for i in range(1, len(held)):
+                lo = int(np.searchsorted(n, -(-percent * n[i] // 100)))
+                ok = label[lo:i] != label[i]
+                if key[1] != key[2]:
+                    ok &= g[lo:i] != g[i]
+                j = lo + np.flatnonzero(ok)
+                j = j[(sk[j] == sk[i]).sum(1) >= AGREE]
+                for k in j.tolist():
+                    if label[k] != label[i]:
+                        both = _overlap(sets[k], sets[i])
+                        if 100 * both >= percent * (n[i] + n[k] - both):
+                            us.append(m[k])
+                            vs.append(m[i])
+                            label[label == label[k]] = label[i]
+            return pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], names=["u", "v"]) if us else None
+
+        for batch in batches:
+            for f, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (f, a, b) != key:
+                    if (out := done()) is not None:
+                        yield out
+                    key, held = (f, a, b), []
+                held.append(row)
+        if (out := done()) is not None:
+            yield out
 
     return run
 
@@ -228,21 +290,18 @@ def _check(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of a written table that are links, on full sets."""
     pairs = pairs.select("u", "v")
     degree = pairs.groupBy("u").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SALT_PAIRS).cast("long").alias("salts"))
     total = pairs.count()
     members = hot_join(pairs, table(degree, "degree"), "u", "n", total).select("u", F.pmod(F.xxhash64("v"), "salts").alias("salt"), F.col("v").alias("m"))
     centres = degree.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("u").alias("m"))
-    need = table(members.union(centres), "need")
-    small = (lambda x: F.broadcast(x)) if total <= broadcast_rows else (lambda x: x)
-    sets = docs.select("doc_id", "text").join(small(need.select(F.col("m").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets, "m long, items binary")
-    rows = sets.join(small(need), "m").select("u", "salt", "m", "items")
+    rows = _with_sets(docs, members.union(centres), total).select("u", "salt", "m", "items")
     return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("m") != F.col("u")).mapInArrow(_check(percent), "u long, v long")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Confirmed links that connect all linked classes: (u, v)."""
     sketch = classes.select(F.col("rep").alias("v"), F.col("sketch").alias("sv"))
     keys = classes.select("rep", "n", "bands").mapInArrow(_keys, "key long, v long, n long")
@@ -252,23 +311,40 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     best = table(ties.groupBy("v").agg(F.max(F.struct("k", (-F.col("u")).alias("u"))).alias("b")).select((-F.col("b.u")).alias("u"), "v"), "ties")
     one = table(verified(docs, best, percent), "links")
     comp = components(one, "u", "v")
-    # round two: pairs across components in the buckets that still hold more than one
+    # round two: families across components in the buckets that still hold more than one
     marked = table(multi.select("key", "n", "v").join(comp.select(F.col("id").alias("v"), "component"), "v", "left").select("key", "n", "v", F.coalesce("component", "v").alias("c")), "marked")
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rows = marked.join(mixed, "key").join(sketch, "v").select("key", "n", "v", "c", "sv")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_across(percent), "u long, v long").distinct()
-    done = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    two = verified(docs, table(pairs.join(done, ["u", "v"], "left_anti"), "pairs"), percent)
-    return one.union(two)
+    near = rows.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_forest(percent), "u long, v long")
+    family = table(components(near, "u", "v").join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id").join(comp.withColumnRenamed("component", "c"), "id", "left").select(F.col("id").alias("m"), F.col("component").alias("family"), F.coalesce("c", "id").alias("c"), "n", "sketch"), "families")
+    return one.union(_within(docs, family, percent, block_bytes))
+
+
+def _within(docs: DataFrame, family: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links across components within families (m, family, c, n, sketch)."""
+    size = table(family.groupBy("family").agg(F.count("*").alias("members"), F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("groups")), "sizes")
+    total = family.count()
+    cells = hot_join(family, size, "family", "members", total).withColumn("g", F.pmod(F.xxhash64("m"), "groups").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    cells = cells.select("m", "family", F.least("g", "s").alias("a"), F.greatest("g", "s").alias("b"), "g", "c", "sketch")
+    rows = _with_sets(docs, cells, total).select("family", "a", "b", "g", "m", "c", "sketch", "items")
+    return rows.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_cells(percent), "u long, v long")
+
+
+def _with_sets(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """rows (m, ..), about ``total``, with the set of document m as items. Texts stay where they are while the rows are few enough to be broadcast."""
+    rows = table(rows, "need")
+    small = (lambda x: F.broadcast(x)) if total <= BROADCAST_ROWS else (lambda x: x)
+    sets = docs.select("doc_id", "text").join(small(rows.select(F.col("m").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets, "m long, items binary")
+    return sets.join(small(rows), "m")
 
 
-def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = table(src.mapInArrow(_signed, "doc_id long, n long, digest binary, bands binary, sketch binary"), "signed")
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = table(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    found = components(links(src, classes, percent), "u", "v")
+    found = components(links(src, classes, percent, block_bytes), "u", "v")
     of = table(classes.select("digest", "rep", "members").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "members"), "of")
     rows = signed.select("doc_id", "n", "digest")
     out = hot_join(rows, of, "digest", "members", rows.count(), "left")
