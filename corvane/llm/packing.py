@@ -163,7 +163,15 @@ class _Rows:
     def __init__(self, schema: T.StructType, doc: pa.DataType):
         self.names, self.doc, self.cols = schema.names, doc, [[] for _ in schema]
 
-    def window(self, pieces: list, sequence: int, keep_ids: bool) -> None:
+    def window(self, pieces: list, sequence: int, keep_ids: bool, whole: str | None = None) -> None:
+        """A row for each piece, or with ``whole`` (a type of ids) one row with all ids and the number of pieces."""
+        if whole:
+            ids = np.concatenate([p[2] for p in pieces])
+            if ids.max(initial=0) > np.iinfo(whole).max:
+                raise ValueError(f"id {ids.max()} doesn't fit {whole}")
+            for c, v in zip(self.cols, (None, 0, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(pieces), sequence, 0, ids.astype(whole).tobytes(), None)):
+                c.append(v)
+            return
         offset = 0
         for doc, start, ids, n in pieces:
             raw = ids.astype("<u4").tobytes()
@@ -183,8 +191,11 @@ class _Rows:
         return batch
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = WINDOW, final: int = FINAL, open_windows: int = OPEN, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ``keep_ids`` also ids (binary)."""
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = WINDOW, final: int = FINAL, open_windows: int = OPEN, keep_ids: bool = False, whole: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ``keep_ids`` also ids (binary).
+
+    With ``whole``, a type such as ``<u2``, a row for each sequence instead: sequence_id, length, ids_crc32, ids of that type.
+    """
     schema = _schema(docs.schema["doc_id"].dataType)
 
     def run(batches):
@@ -196,14 +207,14 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode.ids(text.as_py() or ""), final], np.uint32)
                 for w in packer.put(doc, ids):
-                    rows.window(w, n, keep_ids)
+                    rows.window(w, n, keep_ids, whole)
                     n += 1
-                if len(rows.cols[0]) >= 4096 or keep_ids and len(rows.cols[0]) >= 512:
+                if len(rows.cols[0]) >= 4096 or (keep_ids or whole) and len(rows.cols[0]) >= 512:
                     yield rows.out()
         if rows:
             done, left = packer.close()
             for w in done:
-                rows.window(w, n, keep_ids)
+                rows.window(w, n, keep_ids, whole)
                 n += 1
             rows.left(left, part)
             yield rows.out()
@@ -218,10 +229,13 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
         done, left = merged(pieces, size)
         rows = _Rows(schema, group.column("doc_id").type)
         for i, w in enumerate(done + powers(left)):
-            rows.window(w, -1 - (g << 32) - i, keep_ids)
+            rows.window(w, -1 - (g << 32) - i, keep_ids, whole)
         return pa.Table.from_batches([rows.out()])
 
     # a group is at most MERGE leftovers, each shorter than a window
     last = first.where(F.col("part").isNotNull()).groupBy(F.floor(F.col("part") / MERGE).alias("g")).applyInArrow(merge, schema)
+    if whole:
+        cols = ["sequence_id", "length", "ids_crc32", "ids"]
+        return first.where(F.col("part").isNull()).select(*cols).union(last.select(*cols))
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     return first.where(F.col("part").isNull()).select(*cols).union(last.select(*cols))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embdup, licenses, linededup, neardup, packing, quality, secrets, toxicity
-from .runtime import source
+from . import decontam, embdup, licenses, linededup, neardup, packing, quality, secrets, toxicity, trainorder
+from .runtime import shared_dir, source
 
 
 def _held_out(mod: int, rest: int):
     return F.crc32(F.col("doc_id").cast("string")) % mod == rest
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs documents and writes the sequences in training order; the rows are what the shards' files hold."""
+    docs = source(spark, sf_dir, "documents")
+    return trainorder.materialise(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", *vocabulary())
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, _held_out(5, 0))
@@ -66,7 +74,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.groups(source(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op9_embedding_dedup": op9_embedding_dedup, "op8_near_dedup": op8_near_dedup, "op1_license_scan": op1_license_scan, "op10_secret_scan": op10_secret_scan, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
+QUERIES = {"op6_training_order": op6_training_order, "op9_embedding_dedup": op9_embedding_dedup, "op8_near_dedup": op8_near_dedup, "op1_license_scan": op1_license_scan, "op10_secret_scan": op10_secret_scan, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity}
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
