@@ -15,8 +15,13 @@ NEIGHBOURS = 50
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the session's shared folder; without one the plan just grows, as depth is small."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def neighbours(edges: DataFrame, direction: str = "outbound", most: int = NEIGHBOURS) -> DataFrame:
