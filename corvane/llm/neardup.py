@@ -297,7 +297,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     total = pairs.count()
     members = hot_join(pairs, table(degree, "degree"), "u", "n", total).select("u", F.pmod(F.xxhash64("v"), "salts").alias("salt"), F.col("v").alias("m"))
     centres = degree.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("u").alias("m"))
-    rows = _with_sets(docs, members.union(centres), total).select("u", "salt", "m", "items")
+    rows = _with_sets(docs, members.union(centres)).select("u", "salt", "m", "items")
     return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("m") != F.col("u")).mapInArrow(_check(percent), "u long, v long")
 
 
@@ -326,14 +326,14 @@ def _within(docs: DataFrame, family: DataFrame, percent: int, block_bytes: int)
     total = family.count()
     cells = hot_join(family, size, "family", "members", total).withColumn("g", F.pmod(F.xxhash64("m"), "groups").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     cells = cells.select("m", "family", F.least("g", "s").alias("a"), F.greatest("g", "s").alias("b"), "g", "c", "sketch")
-    rows = _with_sets(docs, cells, total).select("family", "a", "b", "g", "m", "c", "sketch", "items")
+    rows = _with_sets(docs, cells).select("family", "a", "b", "g", "m", "c", "sketch", "items")
     return rows.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_cells(percent), "u long, v long")
 
 
-def _with_sets(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
-    """rows (m, ..), about ``total``, with the set of document m as items. Texts stay where they are while the rows are few enough to be broadcast."""
+def _with_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (m, ..) with the set of document m as items. Texts stay where they are while the rows are few enough to be broadcast."""
     rows = table(rows, "need")
-    small = (lambda x: F.broadcast(x)) if total <= BROADCAST_ROWS else (lambda x: x)
+    small = (lambda x: F.broadcast(x)) if rows.count() <= BROADCAST_ROWS else (lambda x: x)
     sets = docs.select("doc_id", "text").join(small(rows.select(F.col("m").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets, "m long, items binary")
     return sets.join(small(rows), "m")
 
