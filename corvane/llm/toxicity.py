@@ -149,7 +149,7 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: at most ``max_rows`` documents of class 1 and twice as many of class 0, least hash of doc_id first, at most ``max_bytes`` of text, whole texts only (the first that passes the bound ends the sample, but for the first text of a class)."""
+    """A bounded sample of labelled texts: at most ``max_rows`` documents of class 1 and twice as many of class 0, least hash of doc_id first, at most ``max_bytes`` of text, whole texts only: one that doesn't fit what is left of its class's half is passed over."""
     h = F.xxhash64(F.col("doc_id"), F.lit(SEED))
     ids, texts, out = {}, [], []
     for k in (0, 1):
@@ -157,21 +157,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_T
         ids |= {r[0]: k for r in rows}
     if not ids:
         return [], []
-    wanted = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text", F.octet_length("text").alias("n"))
-    # the bound is on bytes before anything comes to the driver: sizes first, then the texts that fit
-    size, room, take = {}, max_bytes // 2, {}
-    for i, n in wanted.select("doc_id", "n").collect():
-        size[i] = max(n, size.get(i, 0))
+    # one text an id, so that repeated rows don't add up; the bound is applied to sizes before any text comes to the driver
+    wanted = lambda some: docs.where(F.col("doc_id").isin(some) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
+    room, take = max_bytes // 2, {}
+    size = {r[0]: r[1] for r in wanted(list(ids)).select("doc_id", F.octet_length("text")).collect()}
     left = {0: room, 1: room}
-    seen = {0: 0, 1: 0}
     for i, k in ids.items():
-        if i in size and (size[i] <= left[k] or not seen[k]):
+        if i in size and size[i] <= left[k]:
             left[k] -= size[i]
-            seen[k] += 1
             take[i] = k
-        elif i in size:
-            left[k] = -1
-    for i, t in wanted.where(F.col("doc_id").isin(list(take))).select("doc_id", "text").orderBy("doc_id", "text").collect():
+    for i, t in wanted(list(take)).orderBy("doc_id").collect():
         texts.append(t)
         out.append(take[i])
     return texts, out
