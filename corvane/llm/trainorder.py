@@ -89,7 +89,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None =
     import zstandard
 
     spark = docs.sparkSession
-    sequences = table(pack(docs, tokenizer, ranks, size, whole=type), "sequences")
+    sequences = pack(docs, tokenizer, ranks, size, whole=type)  # a written table and its small last step, which gives the same rows each time
     part = F.shiftright("sequence_id", 32)  # below 0 for the groups of leftovers
     counts = sequences.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
     base, n = {}, 0
