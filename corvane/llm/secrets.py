@@ -112,7 +112,7 @@ def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = Non
     found = ownership(seen)
     live = table(found.where(F.col("n_owners") <= live_owners).select("hash"), "live").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     spread = each.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(_SALTS)).cast("int")).withColumn("hash", F.col("c.hash"))
-    alive = spread.join(live, ["hash", "salt"]).groupBy("__row").agg(F.collect_set("hash").alias("__live"))  # hashes of one document
+    alive = spread.join(live.hint("merge"), ["hash", "salt"]).groupBy("__row").agg(F.collect_set("hash").alias("__live"))  # hashes of one document
     # texts stay out of tables and joins
     out = rows.join(alive, "__row", "left").withColumn("__live", F.coalesce("__live", F.array().cast("array<binary>")))
     kind = F.array(*[F.lit(k) for k in KINDS])
