@@ -244,8 +244,8 @@ def test_components(spark):
     edges = [(int(a), int(b)) for a, b in r.randint(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2050)]
     want = brute.closure({x for e in edges for x in e}, edges)
     df = spark.createDataFrame([*edges, (None, 5), (7, None)], "a long, b long")
-    for hot in (runtime.HOT_ROWS, 3):
-        got = {x.id: x.component for x in runtime.components(df, hot_rows=hot).collect()}
+    for hot, local in ((runtime.HOT_ROWS, 0), (3, 0), (3, 1 << 19)):
+        got = {x.id: x.component for x in runtime.components(df, hot_rows=hot, local_edges=local).collect()}
         loops = {a for a, b in edges if a == b}
         assert all(got.get(i, i) == c for i, c in want.items()) and set(got) | loops >= set(want)
     assert runtime.components(df.limit(0)).isEmpty()
