@@ -42,9 +42,15 @@ FILTERS = 10
 PER_FILTER = 4
 HOT = 4096
 HOT_MAP = 50_000
+LENGTH_BITS = 42
+_FILTER = (1 << LENGTH_BITS) - 1
 _codes: dict = {}
 
 
+def _list_type(k: int) -> str:
+    return "<u4" if CODES * k * k < 1 << 32 else "<i8"
+
+
 def code(d: int, k: int, c: int) -> tuple[np.ndarray, np.ndarray]:
     """The directions of both blocks, turned back by the rotation: (d, k) each, so that scores are x @ a and x @ b."""
     if (d, k, c) not in _codes:
@@ -89,15 +95,26 @@ def _read(vec: str):
                         with np.errstate(over="ignore"):
                             if not np.isfinite(x).all() or not x.any():
                                 x = None
-                out.append(None if x is None else x.tobytes())
+                out.append(None if x is None else _encode(x))
                 digest.append(None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "digest", "vec"])
 
     return run
 
 
-def _unit(raw: list[bytes], d: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, d)
+def _encode(x: np.ndarray) -> bytes:
+    """A type's letter and the values, in single precision where that is exact."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return b"f" + short.tobytes() if (short == x).all() else b"d" + x.astype("<f8").tobytes()
+
+
+def _length(raw: bytes) -> int:
+    return (len(raw) - 1) // (4 if raw[:1] == b"f" else 8)
+
+
+def _unit(raw: list[bytes]) -> np.ndarray:
+    x = np.stack([np.frombuffer(r, "<f4" if r[:1] == b"f" else "<f8", offset=1) for r in raw]).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -105,14 +122,14 @@ def _unit(raw: list[bytes], d: int) -> np.ndarray:
 def _lists(vec: pa.Array, k: int) -> list[np.ndarray]:
     """Each vector's filters, with its length above them."""
     raw = vec.to_pylist()
-    size = np.array([len(r) // 8 for r in raw])
+    size = np.array([_length(r) for r in raw])
     out: list = [None] * len(raw)
     for d in np.unique(size).tolist():
         at = np.flatnonzero(size == d)
         for lo in range(0, len(at), 1024):
             part = at[lo : lo + 1024]
-            for i, f in zip(part.tolist(), decode(_unit([raw[i] for i in part], d), k)):
-                out[i] = f + (d << 42)
+            for i, f in zip(part.tolist(), decode(_unit([raw[i] for i in part]), k)):
+                out[i] = f + (d << LENGTH_BITS)
     return out
 
 
@@ -146,7 +163,7 @@ def _cells(k: int, groups: dict[int, int]):
                         a.append(min(r, s))
                         b.append(max(r, s))
                         g.append(r)
-            lists = [m.astype("<i8").tobytes() for m in fs]
+            lists = [(m & _FILTER).astype(_list_type(k)).tobytes() for m in fs]
             row = np.array(row)
             for lo in range(0, len(row), 8192):
                 at = pa.array(row[lo : lo + 8192])
@@ -166,7 +183,7 @@ def _first_common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(least: float):
+def _compare(least: float, k: int):
     def run(batches):
         """From cells in order: (rep, n, to): n linked vectors counted here, or an edge of the cell's spanning forest."""
         key, held = None, []
@@ -175,10 +192,10 @@ def _compare(least: float):
             if len(held) < 2:
                 return None
             f, a, b = key
-            d = f >> 42
-            x = _unit([h[3] for h in held], d)
+            f &= _FILTER
+            x = _unit([h[3] for h in held])
             g, rep, members = (np.array([h[i] for h in held]) for i in range(3))
-            lists = np.frombuffer(b"".join(h[4] for h in held), "<i8").reshape(len(held), -1)
+            lists = np.frombuffer(b"".join(h[4] for h in held), _list_type(k)).reshape(len(held), -1).astype(np.int64)
             n, us, vs = np.zeros(len(held), np.int64), [], []
             for lo in range(0, len(held), 256):
                 s = x[lo : lo + 256] @ x.T
@@ -240,7 +257,7 @@ def groups(vectors: DataFrame, least: float = LEAST, vec: str = "embedding", hot
         one = src.mapInArrow(_cells(k, {}), schema)
         split = one.join(crowded, "f", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("g", F.pmod(F.xxhash64("rep"), "n").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         cells = split.select("f", F.least("g", "s").alias("a"), F.greatest("g", "s").alias("b"), "g", "rep", "members", "vec", "lists")
-    found = table(cells.repartition("f", "a", "b").sortWithinPartitions("f", "a", "b").mapInArrow(_compare(least), "rep long, n long, to long"), "found")
+    found = table(cells.repartition("f", "a", "b").sortWithinPartitions("f", "a", "b").mapInArrow(_compare(least, k), "rep long, n long, to long"), "found")
     n = found.where(F.col("to").isNull()).groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.where(F.col("to").isNotNull()), "rep", "to")
     of = table(classes.select("digest", "rep", "members").join(n, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "members", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component")), "of")
