@@ -158,7 +158,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None =
 
     blocks = sequences.select("sequence_id", "length", "ids").mapInArrow(gather, "shard long, ids binary, slots binary, lengths binary, data binary")
     shards = max(1, -(-n // rows))
-    out = blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, "sequence_id long, slot long, shard long, position long, n_tokens long, ids_crc32 long")
+    out = blocks.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(write, "sequence_id long, slot long, shard long, position long, n_tokens long, ids_crc32 long")
     written = table(out, "order")  # the files are written once, before anyone reads
     _write(path, "manifest.json", json.dumps({"sequences": n, "size": size, "rows": rows, "type": type, "key": key, "shards": -(-n // rows)}).encode())
     return written
