@@ -9,7 +9,8 @@ into k + 1 pieces has a piece without error in every such occurrence, so all pie
 searched exactly (one alternation over the normalised text); around each find a window
 that any occurrence must lie in is checked by the regex library's bounded-error
 matching (``(?be)(?:notice){e<=k}``), which reports the span and the number of edits.
-Overlapping finds of a notice keep the one with fewest edits, then the leftmost.
+That gives a window's best find alone, so what it leaves free to its left and right is
+searched again. Overlapping finds of a notice keep the one with fewest edits, then the leftmost.
 
 Whole texts are scanned, a chunk of rows at a time. Defined results: a null or empty
 text has no words, no labels and score 0; repeated rows are scanned each; columns of docs
@@ -18,6 +19,9 @@ named like a result are replaced.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -99,31 +103,59 @@ class Scanner:
         for (r, n), spans in around.items():
             notice, label, k, rx = self.notices[n]
             lo, hi = int(begin[wp[r]]) - 1, int(begin[wp[r + 1] - 1] + (e[wp[r + 1] - 1] - s[wp[r + 1] - 1])) + 1
-            for a, b in _merged(spans, lo, hi):
-                for m in rx.finditer(text, a, b):
-                    i, j = m.span()
-                    while i < j and text[i] == " ":
-                        i += 1
-                    while j > i and text[j - 1] == " ":
-                        j -= 1
-                    wi, wj = int(np.searchsorted(begin, i, "right")) - 1, int(np.searchsorted(begin, j - 1, "right")) - 1
-                    if wi < 0 or wj < wi:
-                        continue
-                    start, end = int(s[wi] + (i - begin[wi])), min(int(e[wj]), int(s[wj] + (j - begin[wj])))
-                    found.setdefault(r, []).append((label, start - int(off[r]), end - int(off[r]), sum(m.fuzzy_counts), len(notice)))
+            for i, j, edits in _finds(rx, text, _merged(spans, lo, hi, 8 * (len(notice) + 2 * k))):
+                while i < j and text[i] == " ":
+                    i += 1
+                while j > i and text[j - 1] == " ":
+                    j -= 1
+                wi, wj = int(np.searchsorted(begin, i, "right")) - 1, int(np.searchsorted(begin, j - 1, "right")) - 1
+                if wi < 0 or wj < wi:
+                    continue
+                start, end = int(s[wi] + (i - begin[wi])), min(int(e[wj]), int(s[wj] + (j - begin[wj])))
+                found.setdefault(r, []).append((label, start - int(off[r]), end - int(off[r]), edits, len(notice)))
         return wp, base, found
 
 
-def _merged(spans: list, lo: int, hi: int) -> list:
+def _merged(spans: list, lo: int, hi: int, most: int) -> list:
+    """Windows that overlap become one of up to ``most`` characters; past that the next begins at its own start, so each span lies whole in a window."""
     out: list[list[int]] = []
     for a, b in sorted((max(lo, a), min(hi, b)) for a, b in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+        if out and b <= out[-1][1]:
+            continue
+        if out and a <= out[-1][1] and b - out[-1][0] <= most:
+            out[-1][1] = b
         elif b > a:
             out.append([a, b])
     return out
 
 
+def _finds(rx, text: str, windows: list) -> list:
+    """(start, end, edits) of finds that don't overlap: always the best of all that is left, then the leftmost, in order of place.
+
+    Windows are bounded, and a find has only the few that overlap it searched again, so the cost grows with the text.
+    """
+    heap: list = []
+
+    def search(a, b):
+        m = rx.search(text, a, b) if b > a else None
+        if m and m.end() > m.start():
+            heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+    for a, b in windows:
+        search(a, b)
+    taken: list[tuple[int, int, int]] = []
+    while heap:
+        edits, i, j, a, b = heapq.heappop(heap)
+        x = bisect.bisect_right(taken, (i, j, edits))
+        cut = next((t for t in taken[max(0, x - 1) : x + 1] if t[0] < j and i < t[1]), None)
+        if cut is None:
+            taken.insert(x, (i, j, edits))
+            cut = taken[x]
+        search(a, min(b, cut[0]))
+        search(max(a, cut[1]), b)
+    return taken
+
+
 def scan(docs: DataFrame, notices=NOTICES, base=BASE) -> DataFrame:
     """All columns of docs and RESULT's. score is 1 for a base find, else the best notice's share of unchanged characters, else 0; notices' spans are code points of the original text."""
     names = [c for c in docs.columns if c not in RESULT.names]

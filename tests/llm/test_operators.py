@@ -78,6 +78,17 @@ def test_license_fuzzy_finds_all_within_the_bound(spark):
             assert brute.edit_distance_anywhere(notice, " ".join(brute.words(t[a:b]))) <= k
 
 
+def test_license_fuzzy_copies_next_to_an_exact_one_are_all_found(spark):
+    exact, near = "released under the mit license", "released undr the mit license"
+    lists = {1: [near] * 5 + [exact], 2: [exact] + [near] * 5, 3: [near, near, exact, near, near, exact, near], 4: ([near] * 9 + [exact]) * 40}
+    texts = {i: " ".join(x) for i, x in lists.items()} | {5: " ".join(f"word {x} between them " * 2 for x in lists[1])}
+    out = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ((exact, "mit", 3),), {})
+    for row in out.collect():
+        want = lists.get(row.doc_id) or [x for x in lists[1] for _ in range(2)]
+        assert [texts[row.doc_id][x.start : x.end] for x in row.notices] == want, row.doc_id
+        assert [x.edits for x in row.notices] == [int(x == near) for x in want]
+
+
 def test_license_spans_are_code_points(spark):
     out = licenses.scan(spark.createDataFrame([(1, "éé ñ Licensed under the Apache Licence, Version 2.0 éé")], "doc_id long, text string")).first()
     spans = [x for x in out.notices if x.label == "apache"]
