@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.tokenize import query_terms
@@ -67,9 +72,113 @@ def batches(ranked: DataFrame, size: int = 20, score: str = "score", tie: str =
 
 
 def semantic(vectors: DataFrame, query: DataFrame) -> DataFrame:
-    """(doc_id, similarity > 0) of vectors (doc_id, vector) to the one row of query (vector)."""
-    one = F.broadcast(query.select(F.col("vector").alias("q")).limit(1))
-    return vectors.crossJoin(one).select("doc_id", cosine(F.col("vector"), F.col("q")).alias("similarity")).where("similarity > 0")
+    """(doc_id, similarity > 0) of vectors (doc_id, vector) to the one row of query (vector); more rows are an error, see semantic_each."""
+    many = F.raise_error(F.lit("semantic takes one query; semantic_each takes many"))
+    one = query.agg(F.first("vector").alias("q"), F.count("*").alias("n")).where("n > 0").select(F.when(F.col("n") == 1, F.col("q")).otherwise(many).alias("q"))
+    return vectors.crossJoin(F.broadcast(one)).select("doc_id", cosine(F.col("vector"), F.col("q")).alias("similarity")).where("similarity > 0")
+
+
+#: queries that a task holds at once, and the side of the squares they are compared in
+QUERY_BLOCK, TILE = 4096, 256
+_NO_ID = np.iinfo(np.int64).min  # a null id; sorts first, as a null does
+
+
+def _ids(column) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+
+
+def _by_length(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length: ids, matrix. Null vectors and empty ones are like nothing; a null element counts as 0, as in cosine()."""
+    n = pa.compute.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(n[n > 0]):
+        rows = np.flatnonzero(n == d)
+        flat = vectors.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(0.0)
+        out[int(d)] = ids[rows], flat.to_numpy(zero_copy_only=False).reshape(-1, d)
+    return out
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All dot products of rows of two matrices as wide, summed in the order of their elements, so equal vectors get equal results wherever they stand."""
+    out = np.zeros(np.broadcast_shapes((len(a), 1), (1, len(b))))
+    for x, y in zip(a.T, b.T):
+        out += x[:, None] * y[None, :]
+    return out
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for x in a.T:
+        out += x * x
+    return np.sqrt(out)
+
+
+def _tiles(groups: dict, ids, vectors):
+    """(query ids' slice key, vector ids, similarities) of squares of vectors and queries; what cosine() calls 0 is 0."""
+    for d, (own, v) in _by_length(ids, vectors).items():
+        for e, (_, q) in groups.items():
+            n = min(d, e)
+            vn, qn = _norms(v[:, :n]), _norms(q[:, :n])
+            for i in range(0, len(v), TILE):
+                for j in range(0, len(q), TILE):
+                    norms = vn[i : i + TILE, None] * qn[None, j : j + TILE]
+                    sims = np.divide(_dots(v[i : i + TILE, :n], q[j : j + TILE, :n]), norms, out=np.zeros_like(norms), where=(norms > 0) | np.isnan(norms))
+                    yield (e, j), own[i : i + TILE], sims
+
+
+def _block(ids, vectors, k: int | None):
+    """The function that compares batches of (doc_id, vector) with a block of queries: all that is similar, or each query's k best of a task."""
+
+    def rows(queries, docs, sims):
+        cols = [pa.array(x, pa.int64(), mask=x == _NO_ID) for x in (queries, docs)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(sims, pa.float64())], names=["query_id", "doc_id", "similarity"])
+
+    def run(batches):
+        groups, best = _by_length(_ids(ids), vectors), {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for (e, j), docs, sims in _tiles(groups, _ids(batch.column(0)), batch.column(1)):
+                    asked = groups[e][0][j : j + TILE]
+                    if k is None:
+                        i, c = np.nonzero((sims > 0) | np.isnan(sims))
+                        if len(i):
+                            yield rows(asked[c], docs[i], sims[i, c])
+                        continue
+                    sims[np.isnan(sims)] = np.inf  # first in a descending order
+                    top, own = best.setdefault((e, j), (np.zeros((k, len(asked))), np.zeros((k, len(asked)), np.int64)))
+                    c = np.flatnonzero(((sims >= top[-1]) & (sims > 0)).any(axis=0))
+                    if len(c):
+                        s = np.vstack([top[:, c], sims[:, c]])
+                        d = np.vstack([own[:, c], np.broadcast_to(docs[:, None], (len(docs), len(c)))])
+                        order = np.lexsort((d, -s), axis=0)[:k]
+                        top[:, c], own[:, c] = np.take_along_axis(s, order, 0), np.take_along_axis(d, order, 0)
+            for (e, j), (top, own) in best.items():
+                i, c = np.nonzero(top > 0)
+                yield rows(groups[e][0][j : j + TILE][c], own[i, c], np.where(np.isinf(top[i, c]), np.nan, top[i, c]))
+
+    return run
+
+
+def semantic_each(vectors: DataFrame, queries: DataFrame, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, similarity > 0) of vectors (doc_id, vector) to every row of queries (query_id, vector): all, or each query's k best.
+
+    Ids are longs. Queries go in as many blocks as it takes, each compared with all vectors; the
+    results don't depend on the number of blocks. Of the k best, a task passes on k for each query.
+    """
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector")).repartition(spread, "doc_id")
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        ids, vecs = (asked.column(c).chunk(0) if asked.num_rows else pa.array([], asked.schema.field(c).type) for c in range(2))
+        parts.append(own.mapInArrow(_block(ids, vecs, k), "query_id long, doc_id long, similarity double"))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    if k is None:
+        return found
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
 def _ranked(df: DataFrame, score: str, tie: str, pool: int) -> DataFrame:

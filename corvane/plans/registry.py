@@ -186,6 +186,25 @@ def semantic_all(spark, sf):
     return _similar(spark, sf).withColumn("similarity", r6("similarity"))
 
 
+_SIMS = "sims AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
+
+
+def _similar_each(spark, sf, k=None):
+    """Every hundredth vector is a query."""
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return search.semantic_each(v, v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k).withColumn("similarity", r6("similarity"))
+
+
+@query(f"WITH {_SIMS} SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM (SELECT * FROM sims WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) <= 10)")
+def semantic_topk_each(spark, sf):
+    return _similar_each(spark, sf, 10)
+
+
+@query(f"WITH {_SIMS} SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM sims WHERE similarity > 0")
+def semantic_all_each(spark, sf):
+    return _similar_each(spark, sf)
+
+
 _HYBRID = f""", {_SIM},
 a AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS ra FROM scored QUALIFY ra <= 50),
 s AS (SELECT doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, doc_id) AS rs FROM sim WHERE similarity > 0 QUALIFY rs <= 50),

@@ -174,6 +174,24 @@ def test_vectors(spark):
     assert both.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] == pytest.approx(1.0)
 
 
+def test_semantic_takes_every_query(spark):
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 6)]) for i in range(40)]
+    rows += [(40, rows[3][1]), (41, [0.0] * 5), (42, None), (43, []), (44, [1.0, None, 2.0]), (45, [3.0, 1.0]), (None, rows[5][1]), (46, [float("nan")] * 5)]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    asked = v.where("doc_id % 4 = 0 OR doc_id IN (45, 46)").select(F.col("doc_id").alias("query_id"), "vector")
+    plain = v.crossJoin(asked.withColumnRenamed("vector", "q")).select("query_id", "doc_id", vectors.cosine(F.col("vector"), F.col("q")).alias("s")).where("s > 0").collect()
+    as_set = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    for block in (100, 3):
+        got = search.semantic_each(v, asked, block=block)
+        assert as_set(got.collect()) == as_set(plain) and len({r.query_id for r in plain}) > 8
+        key = lambda r: (r.s == r.s, -r.s if r.s == r.s else 0, r.doc_id is not None, r.doc_id)
+        want = [r for q in {r.query_id for r in plain} for r in sorted((x for x in plain if x.query_id == q), key=key)[:3]]
+        assert as_set(search.semantic_each(v, asked, 3, block).collect()) == as_set(want)
+    assert search.semantic_each(v, asked.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="takes one query"):
+        search.semantic(v, asked).collect()
+
+
 def test_hybrid(spark):
     lex = spark.createDataFrame([(1, 3.0), (2, 2.0)], "doc_id long, score double")
     sim = spark.createDataFrame([(2, 0.9), (3, 0.5)], "doc_id long, similarity double")
