@@ -7,6 +7,8 @@ shared folder is configured, so plans stay short and lost executors recompute on
 from __future__ import annotations
 
 import functools
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,6 +26,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the session's shared folder and reads it again, for loops of many steps, where a chain of checkpoints runs out of driver memory.
+
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder is taken in local mode alone.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def neighbours(edges: DataFrame, direction: str = "outbound", most: int = NEIGHBOURS) -> DataFrame:
     """(a, b, confidence, direction): each node's best ``most`` neighbours by confidence, then id.
 
@@ -120,17 +138,18 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 20, gamma: flo
 
     Sweeps are synchronous: in each, a seeded half of the nodes moves to the neighbouring
     community of the highest gain ``k_in / m - gamma * d * W / 2m^2``, if that is above 0 and above the own.
+    They end when no node of either half would move.
     A community whose inner weight doesn't exceed its outer is then split into single nodes. Ids
     are renumbered by their least member. Every step is aggregates and joins on node or community.
     """
-    e = cut(edges.select("src", "dst", F.col("confidence").alias("w")))
+    e = stored(edges.select("src", "dst", F.col("confidence").alias("w")))
     m = e.agg(F.sum("w")).first()[0]
     part = nodes.select("id", F.col("id").alias("c"))
     if not m:
         return part.select("id", F.col("c").alias("community"), F.lit(0.0).alias("modularity"))
-    both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
-    d = cut(nodes.select("id").join(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")), "id", "left").fillna(0.0, ["d"]))
-    part, best, score = cut(part), None, -1.0
+    both = stored(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    d = stored(nodes.select("id").join(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")), "id", "left").fillna(0.0, ["d"]))
+    part = stored(part)
     for sweep in range(sweeps):
         sized = part.join(d, "id").groupBy("c").agg(F.sum("d").alias("W"))
         to = both.join(part.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("k"))
@@ -139,10 +158,10 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 20, gamma: flo
         gain = gain.withColumn("g", F.round(F.col("k") / m - gamma * F.col("d") * rest / (2 * m * m), 12))
         pick = gain.groupBy("id").agg(F.max(F.struct("g", (F.col("c") == F.col("own")).alias("stay"), (-F.col("c")).alias("c"))).alias("b"))
         moves = (F.col("b.g") > 0) & (F.pmod(F.xxhash64("id", F.lit(seed + sweep)), F.lit(2)) == 0)
-        new = cut(part.join(pick, "id", "left").select("id", F.when(moves, -F.col("b.c")).otherwise(F.col("c")).alias("c")))
-        changed = new.join(part.withColumnRenamed("c", "o"), "id").where("c <> o").count()
-        part = new
-        if not changed and sweep:
+        wish = F.coalesce((F.col("b.g") > 0) & ~F.col("b.stay"), F.lit(False))
+        new = stored(part.join(pick, "id", "left").select("id", F.when(moves, -F.col("b.c")).otherwise(F.col("c")).alias("c"), wish.alias("wish")))
+        part = new.select("id", "c")
+        if new.where("wish").isEmpty():
             break
     inner = both.join(part.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(part.select(F.col("id").alias("dst"), F.col("c").alias("ct")), "dst")
     keep = inner.groupBy(F.col("cs").alias("c")).agg(F.sum(F.when(F.col("cs") == F.col("ct"), F.col("w")).otherwise(0.0)).alias("i"), F.sum(F.when(F.col("cs") != F.col("ct"), F.col("w")).otherwise(0.0)).alias("o"))

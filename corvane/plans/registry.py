@@ -405,7 +405,7 @@ def modularity_fixed(spark, sf):
 
 @query()
 def leiden(spark, sf):
-    return graph.communities(symbols(spark, sf).select("id"), edges(spark, sf), sweeps=5)
+    return graph.communities(symbols(spark, sf).select("id"), edges(spark, sf))
 
 
 @query(f"""WITH {SYMBOLS_SQL}, top AS (SELECT community_id, count(*) AS size FROM symbols WHERE community_id IS NOT NULL GROUP BY community_id ORDER BY size DESC, community_id LIMIT 20)

@@ -92,6 +92,22 @@ def test_communities(spark):
     assert all(r.community == r.id and r.modularity == 0 for r in none)
 
 
+def test_communities_go_on_while_the_other_half_would_move(spark):
+    late = [r.id for r in spark.range(200).where("pmod(xxhash64(id, 42), 2) = 1 AND pmod(xxhash64(id, 43), 2) = 1").orderBy("id").limit(2).collect()]  # move in neither of the first sweeps
+    e = spark.createDataFrame([(*late, "calls", 1.0)], "src long, dst long, edge_type string, confidence double")
+    got = graph.communities(spark.createDataFrame([(i,) for i in late], "id long"), e).collect()
+    assert {r.community for r in got} == {min(late)}
+
+
+def test_leiden_sweeps_as_often_as_the_operator(spark, data, monkeypatch):
+    from corvane.plans import registry
+
+    asked = {}
+    monkeypatch.setattr(graph, "communities", lambda nodes, edges, **more: asked.update(more) or nodes)
+    registry.QUERIES["leiden"](spark, data)
+    assert asked.get("sweeps", 20) >= 20
+
+
 def test_list_communities_and_search(chain):
     s, e = chain
     assert rows(graph.list_communities(s)) == [(1, 2, "parse,validate")]
