@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lies in benchmark items."""
-    return decontam.decontaminate(docs, source(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    """Documents without any window of a benchmark item, however long they are."""
+    return decontam.decontaminate(docs, source(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
