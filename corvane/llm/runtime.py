@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain(docs: DataFrame, needed: list[str], made: list[str] = (), keep: list[str] | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the ``needed`` columns under these names and every other one under a name that clashes with nothing, and a function that gives an operator's result the old names again.
+
+    Names are compared as Spark does, in any case, but a needed column of exactly its name is preferred. Of the others those that are named like a result (``made``)
+    are left out, and all that aren't in ``keep``, if it is given. Columns of the same name are kept apart by their place. A needed column that is missing is a ValueError.
+    """
+    cols = docs.columns
+    at = {}
+    for n in needed:
+        i = next((i for i, c in enumerate(cols) if c == n), next((i for i, c in enumerate(cols) if c.lower() == n.lower()), None))
+        if i is None:
+            raise ValueError(f"no column {n}")
+        at[i] = n
+    names = [at.get(i, f"x{i}_") for i in range(len(cols))]
+    gone = {m.lower() for m in made}
+    chosen = [n for i, (n, c) in enumerate(zip(names, cols)) if i in at or (c.lower() not in gone and (keep is None or c in keep))]
+    old = dict(zip(names, cols))
+    return docs.toDF(*names).select(*chosen), lambda out: out.toDF(*[old.get(c, c) for c in out.columns])
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -140,7 +140,3 @@ class HashCache:
         """Slots, and where they hold the hash."""
         slot = (h >> self.shift).astype(np.int64)
         return slot, self.keys[slot] == h
-
-
-def join_rows(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
