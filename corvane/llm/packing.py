@@ -12,7 +12,8 @@ which need no padding. So no sequence has any padding, whatever the input.
 Ids come from a vocabulary file of the tokenizers library. Where a file of the same
 vocabulary's ranks is given, the faster tiktoken encodes those texts for which the two
 libraries are known to split alike: all characters have had their class since Unicode 3.2,
-and the text has no special token's string. The others go through tokenizers itself.
+the text has no special token's string, and no run of ``LONG_RUN`` white-space characters (on which
+tiktoken's pattern recurses until its stack is full). The others go through tokenizers itself.
 
 The first step is written to the shared folder, so each document is encoded once, and a
 task that is repeated gives the same rows. Sequence ids are (task, number) from 0 up, and
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .runtime import table
+from .runtime import plain, table
 
 WINDOW = 2048
 FINAL = 1
 OPEN = 64
 MERGE = 1024
+LONG_RUN = 1 << 15
 _loaded: dict = {}
 
 
@@ -67,7 +69,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and (text.isascii() and not any("\x1c" <= c <= "\x1f" for c in set(text)) or self._sure(text)) and "<|" not in text:
+        if self.fast and not _long_run(text) and (text.isascii() and not any("\x1c" <= c <= "\x1f" for c in set(text)) or self._sure(text)) and "<|" not in text:
             return self.fast.encode_ordinary(text)
         if self.exact is None:
             from tokenizers import Tokenizer
@@ -81,6 +83,13 @@ class Encoder:
         return bool(c.max(initial=0) < 1 << 16 and _safe()[c].all())
 
 
+def _long_run(text: str, most: int = LONG_RUN) -> bool:
+    """Whether the text has a run of ``most`` white-space characters; one of under half of that never counts. Such a run covers two neighbouring multiples of its half, so few characters are looked at."""
+    half = most // 2
+    spaces = [text[i].isspace() for i in range(0, len(text), half)] if len(text) >= half else []
+    return any(a and b and text[i * half : (i + 1) * half].isspace() for i, (a, b) in enumerate(zip(spaces, spaces[1:])))
+
+
 def encoder(tokenizer: str, ranks: str | None) -> Encoder:
     """One for each worker and vocabulary."""
     if (tokenizer, ranks) not in _loaded:
@@ -196,6 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
 
     With ``whole``, a type such as ``<u2``, a row for each sequence instead: sequence_id, length, ids_crc32, ids of that type.
     """
+    docs, _ = plain(docs, ["doc_id", "text"], keep=[])
     schema = _schema(docs.schema["doc_id"].dataType)
 
     def run(batches):
