@@ -7,7 +7,8 @@ sort or a table of the order. ``slot_of`` and ``number_of`` are inverse to each
 any position of a run can be found again from the key.
 
 Slot s is row s % rows of shard s // rows. A task gathers its sequences by shard, compresses
-each gathering as one block and shuffles the blocks; a shard's task puts each sequence in
+each gathering as one block and shuffles the blocks; a range of shards, as many as it takes to have at most
+``TASKS`` ranges or the session's number of shuffle partitions, is a task. One shard after the other it puts each sequence in
 its place in a buffer of fixed size and writes the file once, under a temporary name that
 is then moved, so a repeated task leaves the same file. Shards are ``shard-000000.bin`` with
 rows of ``size`` ids (zeros after a shorter sequence), lengths are in ``shard-000000.len``
@@ -37,6 +38,7 @@ TYPE = "<u2"
 ROUNDS = 6
 KEY = 0x5EED
 BLOCK_ROWS = 1024
+TASKS = 4096
 
 
 def _keys(key: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def _write(path: str, name: str, data) -> None:
     f.move(temporary, f"{root}/{name}")
 
 
-def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None = None, size: int = WINDOW, key: int = KEY, rows: int = ROWS, type: str = TYPE) -> DataFrame:
+def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None = None, size: int = WINDOW, key: int = KEY, rows: int = ROWS, type: str = TYPE, tasks: int = TASKS) -> DataFrame:
     """Writes the shards to ``path``, a folder that all executors share, and returns (sequence_id, slot, shard, position, n_tokens, ids_crc32), a row for each sequence."""
     import zstandard
 
@@ -92,10 +94,8 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None =
     sequences = pack(docs, tokenizer, ranks, size, whole=type)  # a written table and its small last step, which gives the same rows each time
     part = F.shiftright("sequence_id", 32)  # below 0 for the groups of leftovers
     counts = sequences.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    base, n = {}, 0
-    for p, k in counts:
-        base[p] = n
-        n += k
+    parts, base = np.array([r[0] for r in counts], np.int64), np.cumsum([0, *[r[1] for r in counts]])
+    n = int(base[-1])
     stride, item = size * np.dtype(type).itemsize, np.dtype(type).itemsize
 
     def gather(batches):
@@ -117,7 +117,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None =
             seq = batch.column(0).to_numpy()
             # within a task or group numbers count up from 0, also below 0
             low = np.where(seq >= 0, seq & 0xFFFFFFFF, 0xFFFFFFFF - (seq & 0xFFFFFFFF))
-            slot = slot_of(np.array([base[p] for p in (seq >> 32).tolist()]) + low, n, key)
+            slot = slot_of(base[np.searchsorted(parts, seq >> 32)] + low, n, key)
             for i, s, k, raw in zip(seq.tolist(), slot.tolist(), batch.column(1).to_pylist(), batch.column(2)):
                 held.setdefault(s // rows, []).append((i, s, k, raw.as_py()))
                 count += 1
@@ -158,7 +158,8 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, ranks: str | None =
 
     blocks = sequences.select("sequence_id", "length", "ids").mapInArrow(gather, "shard long, ids binary, slots binary, lengths binary, data binary")
     shards = max(1, -(-n // rows))
-    out = blocks.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(write, "sequence_id long, slot long, shard long, position long, n_tokens long, ids_crc32 long")
+    tasks = min(shards, max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out = blocks.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard").mapInArrow(write, "sequence_id long, slot long, shard long, position long, n_tokens long, ids_crc32 long")
     written = table(out, "order")  # the files are written once, before anyone reads
     _write(path, "manifest.json", json.dumps({"sequences": n, "size": size, "rows": rows, "type": type, "key": key, "shards": -(-n // rows)}).encode())
     return written
