@@ -8,14 +8,16 @@ any occurrence of a pattern are hit; spans of hit words are mapped back to code-
 offsets in the original text.
 
 The automaton is built from at most ``MAX_WINDOWS`` (window, item) pairs, which bounds
-what is broadcast and what a worker holds. A larger benchmark is split by hash into as
-many blocks as it takes; each block scans all texts and the blocks' hits are united
-by row, so results don't depend on the number of blocks.
+what is broadcast and what a worker holds. Of a larger benchmark only the windows that
+may occur matter: one pass over the texts probes the 64-bit hash of every run of words of a
+window's length against all windows' hashes (``MAX_HASHES`` a pass), and the windows it met go on. Those
+are split by hash into as many blocks as it takes; each block scans all texts and the
+blocks' hits are united by row, so results depend neither on the probe nor on the number of blocks.
 
 Defined results: a null or empty text has no words and isn't contaminated; items with
 null id or no words match nothing; items that share an id are one item; repeated rows
 are documents of their own; an empty benchmark hits nothing; columns of docs named like
-a result are replaced by it. No input column may be named ``__row`` (ValueError).
+a result (in any case) are replaced by it, all others kept.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textvec as tv
-from .runtime import table
+from .runtime import plain, table
 
 MAX_WINDOWS = 20_000
+MAX_HASHES = 1 << 22
+_FOLD = np.uint64(0x9E3779B97F4A7C15 | 5)
 RESULT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")]
     + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
@@ -55,24 +59,83 @@ def normalised(buf: np.ndarray, off: np.ndarray) -> tuple[str, np.ndarray, np.nd
     return out.tobytes().decode("latin-1"), begin, e, wp
 
 
+def folded(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every n consecutive words from the words' hashes."""
+    k = len(h) - n + 1
+    if k <= 0:
+        return np.zeros(0, np.uint64)
+    acc = h[:k].copy()
+    for j in range(1, n):
+        acc *= _FOLD
+        acc += h[j : j + k]
+    return tv.mix(acc + np.uint64(n))
+
+
 def windows(bench: DataFrame, size: int, text: str = "text", item: str = "item_id") -> DataFrame:
-    """Distinct (window, item): every window of every item, normalised."""
+    """Distinct (window, item, n, hash): every window of every item, normalised, with its number of words."""
 
     def run(batches):
         for batch in batches:
-            win, ids = [], []
+            win, ids, sizes, hashes = [], [], [], []
             for _id, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
                 b = np.frombuffer(t.as_py() or b"", np.uint8)
                 s, e, _ = tv.words(b, np.array([0, len(b)]))
                 low = tv.LOWER[b].tobytes()
                 w = [low[i:j] for i, j in zip(s, e)]
                 if w and _id is not None:
-                    own = {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+                    n = min(size, len(w))
+                    h = folded(tv.hashes(b, s, e), n).view(np.int64).tolist()
+                    own = {b" ".join(w[i : i + n]): x for i, x in enumerate(h)}
                     win += own
+                    hashes += own.values()
                     ids += [_id] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(win, pa.binary()), pa.array(ids, pa.string())], names=["window", "item"])
+                    sizes += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(win, pa.binary()), pa.array(ids, pa.string()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["window", "item", "n", "hash"])
+
+    bench, _ = plain(bench, [item, text], keep=[])
+    return bench.select(F.col(item).cast("string"), F.col(text)).mapInArrow(run, "window binary, item string, n int, hash long").distinct()
+
+
+def _met(shared):
+    """Hashes of a text column's runs of words that are among the sorted ones of ``shared``: [(n, hashes)]."""
+
+    def run(batches):
+        probes = []
+        for n, known in shared.value:
+            bits = np.zeros(1 << 21, np.uint8)  # 2 ** 24 bits spare nearly all searches
+            at = (known >> np.uint64(40)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            probes.append((n, known, bits))
+        seen: set[int] = set()
+        for batch in batches:
+            out = set()
+            for _, _, buf, off in tv.chunks(batch.column(0)):
+                s, e, wp = tv.words(buf, off)
+                h, last = tv.hashes(buf, s, e), np.repeat(wp[1:], np.diff(wp))
+                for n, known, bits in probes:
+                    w = folded(h, n)
+                    at = (w >> np.uint64(40)).astype(np.int64)
+                    w = w[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (np.arange(len(w)) + n <= last[: len(w)])]
+                    place = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                    out.update(w[known[place] == w].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(out - seen), pa.int64())], names=["hash"])
+            seen |= out  # at most the hashes of a pass
+
+    return run
+
 
-    return bench.select(F.col(item).cast("string"), F.col(text)).mapInArrow(run, "window binary, item string").distinct()
+def _occurring(docs: DataFrame, wins: DataFrame, max_hashes: int) -> DataFrame:
+    """The windows of a written table that may occur in some text."""
+    spark, found = docs.sparkSession, None
+    keys = table(wins.select("n", "hash").distinct(), "hashes")
+    blocks = max(1, -(-keys.count() // max_hashes))
+    for k in range(blocks):
+        rows = keys.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).toArrow()
+        n, h = rows.column("n").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+        shared = spark.sparkContext.broadcast([(int(x), np.sort(h[n == x])) for x in np.unique(n)])
+        part = docs.select("text").mapInArrow(_met(shared), "hash long").distinct()
+        found = part if found is None else found.union(part)
+    return table(wins.join(table(found, "met"), "hash", "left_semi"), "occurring")
 
 
 class Matcher:
@@ -134,50 +197,51 @@ def _spans(text: bytes, runs: list) -> list[dict]:
     return [{"start": int(points[s[a]]), "end": int(points[e[z - 1]])} for a, z in runs]
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 13, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 13, max_windows: int = MAX_WINDOWS, max_hashes: int = MAX_HASHES) -> DataFrame:
     """All columns of docs and RESULT's: words, hit words, items that occur, their ids' hash, whether a twentieth of the words is hit, and the hit spans."""
-    if "__row" in docs.columns:
-        raise ValueError("a column is named __row")
+    docs, back = plain(docs, ["text"], RESULT.names)
     wins = table(windows(bench, size), "windows")
+    if wins.count() > max_windows:
+        wins = _occurring(docs, wins, max_hashes)
     blocks = max(1, -(-wins.count() // max_windows))
-    names = [c for c in docs.columns if c not in RESULT.names]
-    schema = T.StructType([f for f in docs.schema if f.name in names] + RESULT.fields)
-    take = lambda k: [(bytes(r[0]), r[1]) for r in wins.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).collect()]
+    names = docs.columns
+    schema = T.StructType(docs.schema.fields + RESULT.fields)
+    text = names.index("text")
+    take = lambda k: [(bytes(r[0]), r[1]) for r in wins.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).select("window", "item").collect()]
     if blocks == 1:
         shared = docs.sparkSession.sparkContext.broadcast(take(0))
 
         def run(batches):
             match = Matcher(shared.value)
             for batch in batches:
-                texts, rows = batch.column(batch.schema.get_field_index("text")), []
+                texts, rows = batch.column(text), []
                 for lo, hi, buf, off in tv.chunks(texts):
                     wp, runs, items, _ = match.rows(buf, off)
                     for r in range(hi - lo):
                         mine = runs.get(r, [])
                         rows.append(_result(int(wp[r + 1] - wp[r]), mine, items.get(r, ()), _spans(buf[off[r] : off[r + 1]].tobytes(), mine)))
-                yield _batch(batch, names, rows, schema)
+                yield _batch(batch, len(names), rows, schema)
 
-        return docs.select(*names).mapInArrow(run, schema)
+        return back(docs.mapInArrow(run, schema))
 
-    rows = table(docs.select(*names).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     hits = None
     for k in range(blocks):
-        hit = rows.select("__row", "text").mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(take(k))), "__row long, runs array<long>, items array<string>")
+        hit = rows.select("row", "text").mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(take(k))), "row long, runs array<long>, items array<string>")
         hits = hit if hits is None else hits.union(hit)
-    hits = hits.groupBy("__row").agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))  # a text's hits, from each block once
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))  # a text's hits, from each block once
 
     def finish(batches):
         for batch in batches:
-            got = lambda c: batch.column(batch.schema.get_field_index(c))
             out = []
-            for t, runs, items in zip(got("text").cast(pa.large_binary()), got("__runs").to_pylist(), got("__items").to_pylist()):
+            for t, runs, items in zip(batch.column(text).cast(pa.large_binary()), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                 t = t.as_py() or b""
                 b = np.frombuffer(t, np.uint8)
                 mine = merge(list(zip(runs[::2], runs[1::2]))) if runs else []
                 out.append(_result(len(tv.words(b, np.array([0, len(b)]))[0]), mine, items or (), _spans(t, mine)))
-            yield _batch(batch, names, out, schema)
+            yield _batch(batch, len(names), out, schema)
 
-    return rows.join(hits, "__row", "left").drop("__row").mapInArrow(finish, schema)
+    return back(rows.join(hits, "row", "left").select(*names, "runs", "items").mapInArrow(finish, schema))
 
 
 def _scan(shared):
@@ -191,12 +255,12 @@ def _scan(shared):
                     out[0].append(ids[lo + r].as_py())
                     out[1].append([x for p in mine for x in p])
                     out[2].append(sorted(items[r]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.string()))], names=["__row", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.string()))], names=["row", "runs", "items"])
 
     return run
 
 
-def _batch(batch, names, rows, schema) -> pa.RecordBatch:
+def _batch(batch, own: int, rows, schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in RESULT]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=schema.names)
+    return pa.RecordBatch.from_arrays(batch.columns[:own] + [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=schema.names)
