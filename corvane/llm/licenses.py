@@ -14,7 +14,7 @@ searched again. Overlapping finds of a notice keep the one with fewest edits, th
 
 Whole texts are scanned, a chunk of rows at a time. Defined results: a null or empty
 text has no words, no labels and score 0; repeated rows are scanned each; columns of docs
-named like a result are replaced.
+named like a result (in any case) are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, types as T
 
 from . import textvec as tv
 from .decontam import normalised
+from .runtime import plain
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -158,15 +159,15 @@ def _finds(rx, text: str, windows: list) -> list:
 
 def scan(docs: DataFrame, notices=NOTICES, base=BASE) -> DataFrame:
     """All columns of docs and RESULT's. score is 1 for a base find, else the best notice's share of unchanged characters, else 0; notices' spans are code points of the original text."""
-    names = [c for c in docs.columns if c not in RESULT.names]
-    schema = T.StructType([f for f in docs.schema if f.name in names] + RESULT.fields)
+    docs, back = plain(docs, ["text"], RESULT.names)
+    schema, text = T.StructType(docs.schema.fields + RESULT.fields), docs.columns.index("text")
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))]
 
     def run(batches):
         scanner = Scanner(notices, base)
         for batch in batches:
             rows = []
-            for lo, hi, buf, off in tv.chunks(batch.column(batch.schema.get_field_index("text"))):
+            for lo, hi, buf, off in tv.chunks(batch.column(text)):
                 wp, bases, found = scanner.rows(buf, off)
                 for r in range(hi - lo):
                     own, near = sorted(bases.get(r, ())), found.get(r, ())
@@ -178,6 +179,6 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE) -> DataFrame:
                     labels = {x[1] for x in own}
                     rows.append((int(wp[r + 1] - wp[r]), len(own), own[0][0] if own else None, own[-1][0] if own else None, ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in near})), score, spans))
             cols = list(zip(*rows)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=schema.names)
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema))
