@@ -15,14 +15,18 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 
 The filter's size follows the input's size on disk and is bounded by ``MAX_BITS``; past
 that, false positives send more keys to the exact count, and results stay the same.
-The dropped keys are broadcast as sorted digests where their counted number is at most
-``MAX_BROADCAST_KEYS``; beyond it they are joined by digest, hot digests salted by their
-known counts. Both ways give equal results.
+The dropped keys are broadcast as digests where their counted number is at most
+``MAX_BROADCAST_KEYS``. Beyond it lines that pass the twice filter are joined with them by digest, one row
+for each document and key; digests with more than a ``runtime.HOT_SHARE``-th of these rows are broadcast, as they can only be few,
+and the others are shuffled. Both ways give equal results.
+
+A full filter (``MAX_BITS`` fills up at about a billion distinct lines) lets every key through: then all keys
+are counted exactly, as digests of 16 bytes that are summed within tasks first, so what is shuffled
+stays below the texts' own size.
 
 Defined results: a null or empty text is one empty line; a key shorter than
 ``min_length`` code points never drops; repeated rows are documents of their own; an
-empty table gives an empty result; other columns are kept as they are; no input column
-may be named ``__row`` (ValueError).
+empty table gives an empty result; other columns are kept as they are, but those named like a result (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -34,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textvec as tv
-from .runtime import table
+from .runtime import HOT_ROWS, hot_join, plain, table
 
 MAX_BITS = 1 << 31
 MIN_BITS = 1 << 22
 SHARD_BITS = 1 << 22
 MAX_BROADCAST_KEYS = 1 << 18
-SALT_ROWS = 100_000
 LENGTH_OF_DIGEST = 16
 _STRIP = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(tv.LOWER)
@@ -170,17 +173,22 @@ def twice_filter(docs: DataFrame, min_length: int, bits: int) -> np.ndarray:
 
 
 def filter_bits(docs: DataFrame) -> int:
-    """Bits of the filters: about the bytes that the plan's files hold, in bounds."""
+    """Bits of the filters: about the bytes that the plan's files hold, in bounds. Where a plan doesn't know its size, its texts are measured."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return 1 << min(MAX_BITS.bit_length() - 1, max(MIN_BITS.bit_length() - 1, (size // 4).bit_length()))
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 10, min_length: int = 1, bits: int | None = None, first: bool = False) -> DataFrame:
-    """(digest, n_docs[, first]): keys found in at least ``min_docs`` documents; first is (doc_id, line) of the first occurrence."""
+def suspected(docs: DataFrame, min_length: int = 1, bits: int | None = None):
+    """The twice filter as a broadcast, and the shift that leads from a key's hash to its bit."""
     bits = bits or filter_bits(docs)
-    spark = docs.sparkSession
-    suspects = spark.sparkContext.broadcast(twice_filter(docs, min_length, bits))
-    shift = np.uint64(64 - bits.bit_length() + 1)
+    return docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_length, bits)), np.uint64(64 - bits.bit_length() + 1)
+
+
+def repeated_keys(docs: DataFrame, min_docs: int = 10, min_length: int = 1, bits: int | None = None, first: bool = False, filters=None) -> DataFrame:
+    """(digest, n_docs[, first]): keys found in at least ``min_docs`` documents; first is (doc_id, line) of the first occurrence. filters: what suspected() gave."""
+    suspects, shift = filters or suspected(docs, min_length, bits)
     ids = docs.schema["doc_id"].dataType if first else T.LongType()
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType())] + [T.StructField("doc", ids), T.StructField("line", T.LongType())] * first)
 
@@ -225,30 +233,24 @@ def repeated_keys(docs: DataFrame, min_docs: int = 10, min_length: int = 1, bits
 OUT = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep: str = "none", bits: int | None = None, max_broadcast: int | None = None) -> DataFrame:
-    """All columns of docs with the text after dropping, and n_lines (before), n_dropped. ``keep="first"`` spares the first occurrence. ``max_broadcast`` is for tests: the number of keys up to which they are broadcast."""
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep: str = "none", bits: int | None = None, max_broadcast: int = MAX_BROADCAST_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All columns of docs with the text after dropping, and n_lines (before), n_dropped. ``keep="first"`` spares the first occurrence."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    if "__row" in docs.columns:
-        raise ValueError("a column is named __row")
     first = keep == "first"
-    found = repeated_keys(docs, min_docs, min_length, bits, first)
-    limit = MAX_BROADCAST_KEYS if max_broadcast is None else max_broadcast
+    docs, back = plain(docs, ["text", *["doc_id"] * first], [f.name for f in OUT])
+    filters = suspected(docs, min_length, bits)
+    found = repeated_keys(docs, min_docs, min_length, bits, first, filters)
     n = found.count()
-    return _drop_by_broadcast(docs, found, min_length, first) if n <= limit else _drop_by_join(docs, found, min_length, first)
-
-
-def _outer(docs: DataFrame) -> T.StructType:
-    taken = {"n_lines", "n_dropped"}
-    return T.StructType([f for f in docs.schema if f.name not in taken] + OUT)
+    return back(_drop_by_broadcast(docs, found, min_length, first) if n <= max_broadcast else _drop_by_join(docs, found, min_length, first, filters, hot_rows))
 
 
 def _drop_by_broadcast(docs, found, least, first):
     rows = found.collect()
     spare = {bytes(r["digest"]): tuple(r["first"]) if first and r["first"] is not None else None for r in rows}
     shared = docs.sparkSession.sparkContext.broadcast(spare)
-    schema = _outer(docs)
-    names = [f.name for f in schema][: -len(OUT)]
+    schema = T.StructType(docs.schema.fields + OUT)
+    names = docs.columns
 
     def run(batches):
         gone = shared.value
@@ -274,33 +276,48 @@ def _drop_by_broadcast(docs, found, least, first):
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def _drop_by_join(docs, found, least, first):
-    """Lines join the dropped keys by digest; a hot digest is spread over as many salts as its count asks for."""
-    rows = table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def _drop_by_join(docs, found, least, first, filters, hot_rows):
+    """Documents' suspected keys join the dropped ones by digest."""
+    suspects, shift = filters
+    rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
 
     def lines(batches):
+        filt = suspects.value
         for batch in batches:
-            row, digest, line = [], [], []
-            for r, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                for j, k in enumerate(keys(t.as_py() or b"")):
-                    if _long_enough(k, least):
-                        row.append(r)
-                        line.append(j)
-                        digest.append(hashlib.blake2b(k, digest_size=LENGTH_OF_DIGEST).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(line, pa.int64()), pa.array(digest, pa.binary())], names=["__row", "line", "digest"])
-
-    salts = F.ceil(F.col("n_docs") / SALT_ROWS).cast("int")
-    most = found.agg(F.max(salts)).first()[0] or 1
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))) if most > 1 else found.withColumn("salt", F.lit(0))
-    each = rows.select("__row", "text").mapInArrow(lines, "__row long, line long, digest binary").withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(most)).cast("int"))
-    hit = each.join(spread, ["digest", "salt"])
+            row, digest, at = [], [], []
+            for lo, hi, buf, off in tv.chunks(batch.column(1)):
+                a, b, lp, h = _hashed(buf, off)
+                bit = (h >> shift).astype(np.int64)
+                use = np.flatnonzero(_usable(a, b, buf, least) & (filt[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool))
+                low = tv.LOWER[buf].tobytes()
+                own: dict[tuple[int, bytes], list[int]] = {}
+                for i, r in zip(use.tolist(), (np.searchsorted(lp, use, "right") - 1).tolist()):
+                    own.setdefault((r, hashlib.blake2b(low[a[i] : b[i]], digest_size=LENGTH_OF_DIGEST).digest()), []).append(i - int(lp[r]))
+                for (r, d), x in own.items():
+                    row.append(batch.column(0)[lo + r].as_py())
+                    digest.append(d)
+                    at.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(at, pa.list_(pa.int64()))], names=["row", "digest", "lines"])
+
+    each = table(rows.select("row", "text").mapInArrow(lines, "row long, digest binary, lines array<long>"), "suspects")
+    hit = hot_join(each, found, "digest", "n_docs", each.count(), hot_rows=hot_rows)
     if first:
-        hit = hit.join(rows.select("__row", "doc_id"), "__row").where(~F.col("first").eqNullSafe(F.struct(F.col("doc_id").alias("doc"), "line")))
-    gone = hit.groupBy("__row").agg(F.collect_set("line").alias("gone"))  # at most the lines of a document
-    text = F.coalesce("text", F.lit(""))
-    parts = F.split(text, "\n", -1)
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda y: ~F.array_contains("gone", y.i))
-    out = rows.join(gone, "__row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
-    names = [f for f in docs.columns if f not in ("n_lines", "n_dropped", "text")]
-    out = out.select(*names, F.size(parts).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") == 0, text).otherwise(F.array_join(F.transform(kept, lambda y: y.x), "\n")).alias("text"))
-    return out.select(*_outer(docs).names)
+        spared = F.when(F.col("first.doc").eqNullSafe(F.col("doc_id")) & F.col("doc_id").isNotNull(), F.array("first.line")).otherwise(F.array().cast("array<long>"))
+        hit = hit.join(rows.select("row", "doc_id"), "row").withColumn("lines", F.array_except("lines", spared))
+    gone = hit.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))  # at most the lines of a document
+    names, schema = docs.columns, T.StructType(docs.schema.fields + OUT)
+
+    def drop(batches):
+        at = names.index("text")
+        for batch in batches:
+            texts, total, dropped = [], [], []
+            for t, out in zip(batch.column(at).cast(pa.large_binary()), batch.column(len(names)).to_pylist()):
+                parts = (t.as_py() or b"").split(b"\n")
+                out = set(out or ())
+                texts.append(b"\n".join(x for i, x in enumerate(parts) if i not in out))
+                total.append(len(parts))
+                dropped.append(len(out))
+            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
+
+    return rows.join(gone, "row", "left").select(*names, "gone").mapInArrow(drop, schema)
