@@ -62,8 +62,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+    """A document's source is the owner, a source's texts of one language a repository."""
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = secrets.scan(docs, repo=F.to_json(F.array("source", "lang")), owner=F.col("source"))
+    repos = F.aggregate("live", F.lit(0).cast("long"), lambda n, x: F.greatest(n, x["n_repos"])).alias("most_live_repos")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", repos)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
