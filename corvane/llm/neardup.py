@@ -11,15 +11,17 @@ miss all tables only if they agree in no half-band of one collection: at a simil
 of 0.85 with probability 2 * (1 - 0.85**2)**8 = 7e-5, less above.
 
 *Classes.* Documents with the same set are one class, found by a partial aggregate on
-the set's digest; only its least doc_id goes on. Copies never pair up.
+the set's digest, with a number of its own; its least doc_id stands for its text. Copies never pair up.
+Where rows share a doc_id but not a set, an edge for each further class of this doc_id joins them up.
 
 *Candidates.* A table's bucket is streamed in order of set size; each member is tied to the
 bucket's first member (or to a later one where the sizes alone rule out a link), a star
-and so linear in the bucket. Pairs whose 32 minhashes agree in fewer than
+and so linear in the bucket. Buckets with more than a ``HOT_SHARE``-th of all rows (and ``HOT_BUCKET``) are found by
+Misra-Gries counts beforehand, each task's merged by one aggregate, and are split by salt; every salt has stars of its own. Pairs whose 32 minhashes agree in fewer than
 ``AGREE`` bytes are screened out (a link of 0.85 fails with probability below 1e-5). Of the
 rest each member's best is verified: round one. After it, only buckets that hold different
 components matter; their members whose sketches allow a link across components form families (again
-by a forest of each bucket, not by pairs), and round two compares the members of a family
+by a forest of each bucket, not by pairs; a bucket of more than ``CELL_ROWS`` is cut into groups, and each pair of groups is a task's cell of its own), and round two compares the members of a family
 that are in different components, so no pair of a bucket stays undecided.
 
 *Verification.* Round one sends each member's set once to its centre's task (a centre with
@@ -29,7 +31,10 @@ groups, and each pair of groups is a cell of its own, so a task holds at most tw
 
 Defined results: documents without words or with null text have an empty set and link with
 nothing, as do rows with null doc_id (component null, kept); rows that share a doc_id are one node;
-an empty table gives no rows; other columns of docs are kept by near_dedup().
+an empty table gives no rows; other columns of docs are kept by near_dedup(), whatever their names.
+
+Cost that stays: of N documents that share a bucket and are all similar to each other, but not linked, every two are
+compared by their 32-byte sketches, N * N / 2 in cells of CELL_ROWS * CELL_ROWS.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
-from .runtime import components, hot_join, table
+from .runtime import components, hot_join, plain, table
 
 BANDS = 8
 ROWS = 2
@@ -50,7 +55,12 @@ AGREE = 17
 PERCENT = 85
 SALT_PAIRS = 2048
 BLOCK_BYTES = 16 << 20
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 256  # of a broadcast row, at most
+HOT_SHARE = 1 << 15
+HOT_BUCKET = 1 << 18
+HEAVY = 1 << 17
+CELL_ROWS = 1 << 13
 _rng = np.random.RandomState(85)
 _XOR = _rng.randint(0, 1 << 62, HASHES).astype(np.uint64)
 _MUL = _rng.randint(0, 1 << 62, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,6 +95,10 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _digest(items: bytes) -> bytes:
+    return hashlib.blake2b(items, digest_size=16).digest()
+
+
 def _signed(batches):
     for batch in batches:
         n, digest, bands, sketch = [], [], [], []
@@ -99,7 +113,7 @@ def _signed(batches):
                 n.append(len(s))
                 if len(s):
                     a, b = next(some)
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digest.append(_digest(s.tobytes()))
                     bands.append(a.tobytes())
                     sketch.append(b.tobytes())
                 else:
@@ -108,32 +122,81 @@ def _signed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, bands, sketch))], names=["doc_id", "n", "digest", "bands", "sketch"])
 
 
-def _keys(batches):
-    """The keys of all tables for each class."""
+def _table_keys(bands: pa.Array) -> np.ndarray:
+    """The keys of all tables for each class, a row for each."""
+    n = len(bands)
+    half = np.frombuffer(b"".join(bands.to_pylist()), "<u4").reshape(n, 2 * BANDS).astype(np.uint64)
     step = np.arange(BANDS * BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return tv.mix(((half[:, :BANDS, None] << np.uint64(32)) | half[:, None, BANDS:]).reshape(n, -1) + step).view(np.int64)
+
+
+def _heavy(batches):
+    """(key, n): a lower bound of a key's count in this task, short of it by at most a HEAVY-th of the task's rows, where it is not below that."""
+    keys, counts, held, total = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merged():
+        k, at = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([counts, np.ones(len(at) - len(counts))])).astype(np.int64)
+        if len(k) > HEAVY:
+            c = c - np.partition(c, len(c) - HEAVY - 1)[len(c) - HEAVY - 1]
+        return k[c > 0], c[c > 0]
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        half = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, 2 * BANDS).astype(np.uint64)
-        key = tv.mix(((half[:, :BANDS, None] << np.uint64(32)) | half[:, None, BANDS:]).reshape(batch.num_rows, -1) + step)
-        k = BANDS * BANDS
-        for a in range(0, batch.num_rows, 2048):
-            b = min(batch.num_rows, a + 2048)
-            rep, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False)[a:b], k) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key[a:b].ravel().view(np.int64)), pa.array(rep), pa.array(n)], names=["key", "v", "n"])
+        for lo in range(0, batch.num_rows, 8192):
+            held.append(_table_keys(batch.column(0).slice(lo, 8192)).ravel())
+            total += len(held[-1])
+            if sum(map(len, held)) >= HEAVY * 8:
+                keys, counts = merged()
+                held = []
+    if held:
+        keys, counts = merged()
+    some = counts >= max(1, total // HEAVY)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some])], names=["key", "n"])
+
+
+def hot_buckets(classes: DataFrame, n_classes: int, hot_bucket: int = HOT_BUCKET, share: int = HOT_SHARE) -> dict[int, int]:
+    """Salts of every key that more than a ``share``-th of all rows have, and more than ``hot_bucket``. What comes back is bounded by 2 * HOT_SHARE keys."""
+    total = n_classes * BANDS * BANDS
+    least = max(hot_bucket, total // share)
+    if least >= n_classes:  # no bucket holds a class twice
+        return {}
+    short = 2 * (total // HEAVY)
+    found = classes.select("bands").mapInArrow(_heavy, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, least - short)).collect()
+    return {r[0]: 2 + (r[1] + short) // max(1, hot_bucket) for r in found}
+
+
+def _keys(hot: dict[int, int]):
+    def run(batches):
+        """(key, salt, v, n) of each class in all tables; salt is -1 but for hot keys."""
+        names = np.array(sorted(hot), np.int64)
+        salts = np.array([hot[k] for k in names.tolist()], np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                key = _table_keys(part.column(2))
+                v, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), key.shape[1]) for c in (0, 1))
+                key = key.ravel()
+                salt = np.full(len(key), -1, np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                    is_hot = names[at] == key
+                    salt[is_hot] = (tv.mix(v[is_hot].astype(np.uint64)) % salts[at[is_hot]].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(v), pa.array(n)], names=["key", "salt", "v", "n"])
+
+    return run
 
 
 def _stars(percent: int):
     def run(batches):
-        """From (key, v, n) in order of key, n, v: (key, v, n, u) of buckets of two or more, u the star's centre."""
-        state = None  # the last bucket's key, its current centre with size, and whether it is out
+        """From (key, salt, v, n) in order of key, salt, n, v: (key, v, n, u) of buckets of two or more and of all hot ones, u the star's centre."""
+        state = None  # the last bucket's key and salt, its current centre with size, and whether it is out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, v, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            key, salt, v, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
             if state:
-                key, v, n = np.r_[state[0], key], np.r_[state[1], v], np.r_[state[2], n]
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                key, salt, v, n = (np.r_[x, y] for x, y in zip(state, (key, salt, v, n)))
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             length = np.diff(np.r_[start, len(key)])
             centre = np.repeat(start, length)
             far = np.flatnonzero(100 * n[centre] < percent * n)
@@ -144,11 +207,11 @@ def _stars(percent: int):
                     end = c + int(np.searchsorted(n[c:j], 100 * n[c] // percent, "right"))
                     centre[c : max(end, c + 1)] = c
                     c = max(end, c + 1)
-            out = np.repeat(length > 1, length)
-            if state and state[3]:
+            out = np.repeat(length > 1, length) | (salt >= 0)
+            if state and state[4]:
                 out[0] = False
             last = int(centre[-1])
-            state = (key[-1], v[last], n[last], bool(length[-1] > 1) or bool(state and state[3] and start[-1] == 0))
+            state = (key[-1], salt[-1], v[last], n[last], bool(length[-1] > 1 or salt[-1] >= 0) or bool(state and state[4] and start[-1] == 0))
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(v[out]), pa.array(n[out]), pa.array(v[centre][out])], names=["key", "v", "n", "u"])
 
@@ -169,21 +232,21 @@ def _screen(batches):
 
 def _forest(percent: int):
     def run(batches):
-        """From (key, n, v, c, sketch) in order of key, n, v: edges that join all members of a bucket between which some pair in different components c has sizes and sketches that allow a link. At most one edge a member and tree it joins; members too small for the current one leave memory."""
+        """From (key, a, b, g, n, v, c, sketch) in order of key, a, b, n, v: edges that join all members of a cell of a bucket between which some pair in different components c (and, where a and b differ, groups g) has sizes and sketches that allow a link. At most one edge a member and tree it joins; members too small for the current one leave memory."""
         key, held, tree = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ks, n, v, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sk = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
-            start = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
+            ks, aa, bb, g, n, v, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            sk = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
+            start = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]) | (aa[1:] != aa[:-1]) | (bb[1:] != bb[:-1])])
             us, vs = [], []
             for a, b in zip(start.tolist(), [*start[1:].tolist(), len(ks)]):
                 for i in range(a, b, 256):
                     j = min(b, i + 256)
-                    now = (n[i:j], v[i:j], c[i:j], sk[i:j])
-                    if ks[a] != key:
-                        key, held, tree = ks[a], tuple(x[:0] for x in now), np.zeros(0, np.int64)
+                    now = (n[i:j], v[i:j], c[i:j], sk[i:j], g[i:j])
+                    if (ks[a], aa[a], bb[a]) != key:
+                        key, held, tree = (ks[a], aa[a], bb[a]), tuple(x[:0] for x in now), np.zeros(0, np.int64)
                     keep = 100 * held[0] >= percent * n[i]
                     held = tuple(np.concatenate([x[keep], y]) for x, y in zip(held, now))
                     tree = np.concatenate([tree[keep], now[1]])
@@ -192,6 +255,8 @@ def _forest(percent: int):
                     for at in range(0, len(held[0]), 4096):
                         h = tuple(x[at : at + 4096] for x in held)
                         ok = (now[2][:, None] != h[2][None]) & (100 * h[0][None] >= percent * now[0][:, None]) & (np.arange(at, at + len(h[0]))[None] < base + np.arange(j - i)[:, None])
+                        if key[1] != key[2]:
+                            ok &= now[4][:, None] != h[4][None]
                         q, p = np.nonzero(ok)
                         may[q, at + p] = (now[3][q] == h[3][p]).sum(1) >= AGREE
                     for q in np.flatnonzero(may.any(1)).tolist():
@@ -261,11 +326,19 @@ def _cells(percent: int):
 
 
 def _sets(batches):
+    """(rep, digest, items) of documents that have a set; of repeated rows one a task."""
+    seen = set()
     for batch in batches:
-        out = []
-        for _, _, buf, off in tv.chunks(batch.column(1)):
-            out += [s.tobytes() for s in shingle_sets(buf, off)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["m", "items"])
+        rep, digest, out = [], [], []
+        for lo, _, buf, off in tv.chunks(batch.column(1)):
+            for i, x in enumerate(shingle_sets(buf, off)):
+                own = (batch.column(0)[lo + i].as_py(), _digest(items := x.tobytes()))
+                if len(x) and own not in seen:
+                    seen.add(own)
+                    out.append(items)
+                    rep.append(own[0])
+                    digest.append(own[1])
+        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], names=["rep", "digest", "items"])
 
 
 def _check(percent: int):
@@ -290,63 +363,83 @@ def _check(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of a written table that are links, on full sets."""
     pairs = pairs.select("u", "v")
-    degree = pairs.groupBy("u").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SALT_PAIRS).cast("long").alias("salts"))
-    total = pairs.count()
-    members = hot_join(pairs, table(degree, "degree"), "u", "n", total).select("u", F.pmod(F.xxhash64("v"), "salts").alias("salt"), F.col("v").alias("m"))
+    degree = table(pairs.groupBy("u").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SALT_PAIRS).cast("long").alias("salts")), "degree")
+    members = hot_join(pairs, degree, "u", "n", pairs.count()).select("u", F.pmod(F.xxhash64("v"), "salts").alias("salt"), F.col("v").alias("m"))
     centres = degree.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("u").alias("m"))
-    rows = _with_sets(docs, members.union(centres)).select("u", "salt", "m", "items")
+    rows = _with_sets(docs, classes, members.union(centres)).select("u", "salt", "m", "items")
     return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("m") != F.col("u")).mapInArrow(_check(percent), "u long, v long")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Confirmed links that connect all linked classes: (u, v)."""
-    sketch = classes.select(F.col("rep").alias("v"), F.col("sketch").alias("sv"))
-    keys = classes.select("rep", "n", "bands").mapInArrow(_keys, "key long, v long, n long")
-    multi = table(keys.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_stars(percent), "key long, v long, n long, u long"), "buckets")
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, hot_bucket: int = HOT_BUCKET, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Confirmed links that connect all linked classes: (u, v), numbers of classes."""
+    sketch = classes.select(F.col("cid").alias("v"), F.col("sketch").alias("sv"))
+    hot = hot_buckets(classes, classes.count(), hot_bucket)
+    keys = classes.select("cid", "n", "bands").mapInArrow(_keys(hot), "key long, salt long, v long, n long")
+    multi = table(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_stars(percent), "key long, v long, n long, u long"), "buckets")
     ties = multi.where("u <> v").select("u", "v").distinct()
     ties = ties.join(sketch, "v").join(sketch.select(F.col("v").alias("u"), F.col("sv").alias("su")), "u").select("u", "v", "su", "sv").mapInArrow(_screen, "u long, v long, k long")
     best = table(ties.groupBy("v").agg(F.max(F.struct("k", (-F.col("u")).alias("u"))).alias("b")).select((-F.col("b.u")).alias("u"), "v"), "ties")
-    one = table(verified(docs, best, percent), "links")
+    one = table(verified(docs, classes, best, percent), "links")
     comp = components(one, "u", "v")
     # round two: families across components in the buckets that still hold more than one
     marked = table(multi.select("key", "n", "v").join(comp.select(F.col("id").alias("v"), "component"), "v", "left").select("key", "n", "v", F.coalesce("component", "v").alias("c")), "marked")
-    mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rows = marked.join(mixed, "key").join(sketch, "v").select("key", "n", "v", "c", "sv")
-    near = rows.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_forest(percent), "u long, v long")
-    family = table(components(near, "u", "v").join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id").join(comp.withColumnRenamed("component", "c"), "id", "left").select(F.col("id").alias("m"), F.col("component").alias("family"), F.coalesce("c", "id").alias("c"), "n", "sketch"), "families")
-    return one.union(_within(docs, family, percent, block_bytes))
+    mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members", F.ceil(F.col("members") / cell_rows).cast("int").alias("groups"))
+    rows = hot_join(marked, table(mixed, "mixed"), "key", "members", marked.count(), hot_rows=hot_bucket)
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("v"), "groups").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = rows.select("key", F.least("g", "s").alias("a"), F.greatest("g", "s").alias("b"), "g", "n", "v", "c").join(sketch, "v").select("key", "a", "b", "g", "n", "v", "c", "sv")
+    near = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "n", "v").mapInArrow(_forest(percent), "u long, v long")
+    family = table(components(near, "u", "v").join(classes.select(F.col("cid").alias("id"), "n", "sketch"), "id").join(comp.withColumnRenamed("component", "c"), "id", "left").select(F.col("id").alias("m"), F.col("component").alias("family"), F.coalesce("c", "id").alias("c"), "n", "sketch"), "families")
+    return one.union(_within(docs, classes, family, percent, block_bytes))
 
 
-def _within(docs: DataFrame, family: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+def _within(docs: DataFrame, classes: DataFrame, family: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     """Links across components within families (m, family, c, n, sketch)."""
     size = table(family.groupBy("family").agg(F.count("*").alias("members"), F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("groups")), "sizes")
     total = family.count()
     cells = hot_join(family, size, "family", "members", total).withColumn("g", F.pmod(F.xxhash64("m"), "groups").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     cells = cells.select("m", "family", F.least("g", "s").alias("a"), F.greatest("g", "s").alias("b"), "g", "c", "sketch")
-    rows = _with_sets(docs, cells).select("family", "a", "b", "g", "m", "c", "sketch", "items")
+    rows = _with_sets(docs, classes, cells).select("family", "a", "b", "g", "m", "c", "sketch", "items")
     return rows.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_cells(percent), "u long, v long")
 
 
-def _with_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (m, ..) with the set of document m as items. Texts stay where they are while the rows are few enough to be broadcast."""
-    rows = table(rows, "need")
-    small = (lambda x: F.broadcast(x)) if rows.count() <= BROADCAST_ROWS else (lambda x: x)
-    sets = docs.select("doc_id", "text").join(small(rows.select(F.col("m").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets, "m long, items binary")
-    return sets.join(small(rows), "m")
+def _with_sets(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (m, ..) with the set of class m as items. Texts stay where they are while the rows are few enough to be broadcast."""
+    rows = table(rows.join(classes.select(F.col("cid").alias("m"), "rep", "digest"), "m"), "need")
+    small = (lambda x: F.broadcast(x)) if rows.count() * ROW_BYTES <= BROADCAST_BYTES else (lambda x: x)
+    sets = docs.select("doc_id", "text").join(small(rows.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets, "rep long, digest binary, items binary")
+    return sets.join(small(rows), ["rep", "digest"])
+
+
+def _one_node(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between the classes of each doc_id that has several."""
+    many = some.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("doc_id")
+    own = table(some.select("doc_id", "digest").join(many, "doc_id", "left_semi").distinct().join(classes.select("digest", "cid"), "digest").select("doc_id", "cid"), "shared")
+    hub = table(own.groupBy("doc_id").agg(F.min("cid").alias("hub"), F.count("*").alias("n")), "hubs")
+    return hot_join(own, hub, "doc_id", "n", own.count()).where("cid <> hub").select(F.col("hub").alias("u"), F.col("cid").alias("v"))
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, hot_bucket: int = HOT_BUCKET, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
+    docs, _ = plain(docs, ["doc_id", "text"], keep=[])
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = table(src.mapInArrow(_signed, "doc_id long, n long, digest binary, bands binary, sketch binary"), "signed")
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = table(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    found = components(links(src, classes, percent, block_bytes), "u", "v")
-    of = table(classes.select("digest", "rep", "members").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "members"), "of")
-    rows = signed.select("doc_id", "n", "digest")
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    edges = links(src, classes, percent, block_bytes, hot_bucket, cell_rows).union(_one_node(some, classes))
+    found = table(components(edges, "u", "v").join(classes.select(F.col("cid").alias("id"), "rep"), "id"), "found")
+    least = table(found.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "least")
+    joined = hot_join(found, least, "component", "n", found.count()).select(F.col("id").alias("cid"), "least")
+    of = table(classes.select("digest", "cid", "rep", "members").join(joined, "cid", "left").select("digest", F.coalesce("least", "rep").alias("component"), "members"), "of")
+    rows = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    # an empty row is one node with what else has its doc_id
+    empty = signed.where(F.col("digest").isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    twins = table(signed.join(empty, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("digest").alias("twin"), F.count("*").alias("total")).where(F.col("twin").isNotNull()), "twins")
+    if not twins.isEmpty():
+        rows = table(hot_join(rows, twins, "doc_id", "total", rows.count(), "left").select("doc_id", "n", F.coalesce("digest", "twin").alias("digest")), "rows")
     out = hot_join(rows, of, "digest", "members", rows.count(), "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), node.alias("component_id"), F.coalesce(F.col("doc_id") == node, F.lit(True)).alias("kept"))
@@ -354,5 +447,6 @@ def groups(docs: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYT
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, that are the least of their group. docs should be a written table; it is read several times."""
+    docs, back = plain(docs, ["doc_id", "text"])
     gone = groups(docs, percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+    return back(docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns))
