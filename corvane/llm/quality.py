@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from .runtime import plain
 from .toxicity import sample
 
 DICT_BYTES = 112_640
@@ -132,14 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: doc_id; one named score is replaced) and score, the probability of class 1."""
-    keep = [c for c in keep or ["doc_id"] if c != "score"]
-    read = keep if "text" in keep else [*keep, "text"]
+    docs, back = plain(docs, ["text"], ["score"], keep or ["doc_id"])
+    own = [c for c in docs.columns if c != "text" or "text" in (keep or ())]
+    read = own if "text" in own else [*own, "text"]
     at = read.index("text")
 
     def run(batches):
         compressors = model.compressors()
         for b in batches:
             texts = ((t.as_py() or b"") for t in b.column(at).cast(pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.score(sizes(texts, compressors)))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(model.score(sizes(texts, compressors)))], names=[*own, "score"])
 
-    return docs.select(*read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
+    return back(docs.select(*read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in own], T.StructField("score", T.DoubleType())])))

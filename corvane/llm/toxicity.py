@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textvec as tv
+from .runtime import plain
 
 BUCKETS = 1 << 16
 DIM = 6
@@ -150,6 +151,7 @@ class Scorer:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts: at most ``max_rows`` documents of class 1 and twice as many of class 0, least hash of doc_id first, at most ``max_bytes`` of text, whole texts only: one that doesn't fit what is left of its class's half is passed over."""
+    docs, labels = plain(docs, ["doc_id", "text"], keep=[])[0], plain(labels, ["doc_id", label], keep=[])[0]
     h = F.xxhash64(F.col("doc_id"), F.lit(SEED))
     ids, texts, out = {}, [], []
     for k in (0, 1):
@@ -174,18 +176,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_T
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: doc_id; one named score is replaced) and score, the probability of class 1."""
-    keep = [c for c in keep or ["doc_id"] if c != "score"]
-    read = keep if "text" in keep else [*keep, "text"]
-    at = read.index("text")
     table, bias = model
+    docs, back = plain(docs, ["text"], ["score"], keep or ["doc_id"])
+    own = [c for c in docs.columns if c != "text" or "text" in (keep or ())]
+    read = own if "text" in own else [*own, "text"]
+    at = read.index("text")
 
     def run(batches):
         scorer = Scorer(table, bias)
         for b in batches:
             p = 1 / (1 + np.exp(-np.clip(scorer.logits(b.column(at)), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(p)], names=[*own, "score"])
 
-    return docs.select(*read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
+    return back(docs.select(*read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in own], T.StructField("score", T.DoubleType())])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> tuple[np.ndarray, float]:
