@@ -65,7 +65,7 @@ def items():
     return [(1, item), (2, "two words"), (3, None), (None, "one two three"), (4, ""), (2, "one two three"), (10, item.upper())]
 
 
-EXTRA = ["score", "n_lines", "n_words", "kept", "labels", "spans", "n_hit", "component_id", "n", "digest", "rep", "u", "v", "salt", "window"]
+EXTRA = ["score", "n_lines", "n_words", "kept", "labels", "spans", "n_hit", "component_id", "n", "digest", "rep", "u", "v", "salt", "window", "__row", "row", "__runs", "items", "__cand", "cand", "repo", "owner", "__owner", "gone", "h", "x0_"]
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from corvane.llm import decontam, embdup, licenses, linededup, neardup, packing, queries, quality, runtime, secrets, textvec, toxicity, trainorder
 
@@ -179,6 +179,23 @@ def test_packing(docs, rows):
     assert all(len(p.ids) == 4 * p.length for p in few)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "\u00a0", "\u3000", "a", "7"])
+@pytest.mark.parametrize("n", [(packing.LONG_RUN // 2) - 1, packing.LONG_RUN, 1_000_000, 5_000_000])
+def test_long_runs_of_one_character(run, n):
+    if n > 1_000_000 and run not in (" ", "\n"):
+        pytest.skip("as the others")
+    text = "some words a" + run * (n // len(run)) + "b and more  words"
+    e = packing.encoder(*queries.vocabulary())
+    fast = e.ids(text)
+    assert packing._long_run(text) == (n >= packing.LONG_RUN and run.isspace())
+    assert fast == packing.encoder(queries.vocabulary()[0], None).ids(text)
+
+
+def test_packing_of_long_white_space(spark):
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "short")]
+    check_pieces(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), *queries.vocabulary()).collect(), rows)
+
+
 def test_packer_keeps_its_bound():
     p, r = packing.Packer(64, 3), np.random.RandomState(0)
     for d in range(300):
@@ -186,11 +203,11 @@ def test_packer_keeps_its_bound():
         assert len(p.open) <= 3
 
 
-@pytest.mark.parametrize("bits, most", [(None, None), (1 << 8, None), (None, 0)])
+@pytest.mark.parametrize("bits, most, hot", [(None, 1 << 18, 100_000), (1 << 12, 1 << 18, 100_000), (None, 0, 100_000), (None, 0, 11)])
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_line_dedup(docs, rows, keep, bits, most):
-    bits = bits and max(bits, 1 << 12)
-    out = linededup.line_dedup(docs, 10, 1, keep, bits, most)
+def test_line_dedup(docs, rows, keep, bits, most, hot):
+    """By broadcast, with a full filter, by a join, and with some digests hot."""
+    out = linededup.line_dedup(docs, 10, 1, keep, bits, most, hot)
     want = brute.line_dedup(rows, 10, keep)
     if keep == "first":  # rows that share an id have the same first occurrence
         assert len(want) == out.count()
@@ -205,10 +222,15 @@ def test_line_dedup_counts_code_points(docs, rows):
         assert not any(seen[brute.key(x)] >= 2 and len(brute.key(x)) >= 5 for x in r.text.split("\n"))
 
 
-@pytest.mark.parametrize("windows", [decontam.MAX_WINDOWS, 7])
-def test_decontamination(spark, docs, rows, items, windows):
+@pytest.mark.parametrize("windows, hashes", [(decontam.MAX_WINDOWS, decontam.MAX_HASHES), (7, decontam.MAX_HASHES), (50, decontam.MAX_HASHES), (50, 9)])
+def test_decontamination(spark, docs, rows, items, windows, hashes):
+    """In one block; the probe and blocks; the probe leaves one block; the probe in passes."""
+    if windows == 50:
+        r = np.random.RandomState(9)
+        items = items + [(str(100 + i), " ".join(f"w{x}" for x in r.randint(0, 10**6, 30))) for i in range(20)]
+        items = [(i and int(i), t) for i, t in items]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontam.decontaminate(docs, bench, max_windows=windows)
+    out = decontam.decontaminate(docs, bench, max_windows=windows, max_hashes=hashes)
     want = Counter(brute.decontaminate(rows, items))
     assert table(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     for r in out.where("n_hit > 0").select("text", "spans", "n_hit").collect():
@@ -221,15 +243,51 @@ def test_decontamination_without_benchmark(spark, docs, rows):
     assert out.where("contaminated OR n_items > 0").isEmpty() and out.count() == len(rows)
 
 
-@pytest.mark.parametrize("percent, block", [(85, neardup.BLOCK_BYTES), (85, 4000), (60, neardup.BLOCK_BYTES)])
-def test_near_dedup(docs, rows, percent, block):
+@pytest.mark.parametrize("percent, block, hot, cell, wide", [(85, neardup.BLOCK_BYTES, neardup.HOT_BUCKET, neardup.CELL_ROWS, 1), (85, 4000, neardup.HOT_BUCKET, 3, 0), (60, neardup.BLOCK_BYTES, 4, 3, 1), (60, neardup.BLOCK_BYTES, 4, neardup.CELL_ROWS, 0)])
+def test_near_dedup(docs, rows, percent, block, hot, cell, wide, monkeypatch):
+    """With small families, hot buckets, small cells, and sets that are joined by a shuffle."""
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", wide * neardup.BROADCAST_BYTES)
+    monkeypatch.setattr(neardup, "SALT_PAIRS", 2048 if wide else 5)
     want = brute.near(rows, percent)
-    got = neardup.groups(docs, percent, block).collect()
+    got = neardup.groups(docs, percent, block, hot, cell).collect()
     assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((d, len(brute.shingles(t))) for d, t in rows)
     for r in got:
         assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.doc_id == r.component_id), r
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    r = np.random.RandomState(6)
+    texts = {c: " ".join(f"{c}{x}" for x in r.randint(0, 10**6, 80)) for c in "ABCDE"}
+    near_b = texts["B"] + " tail"
+    rows = [(3, texts["A"]), (5, texts["A"]), (5, texts["B"]), (9, texts["B"]), (1, texts["C"]), (7, near_b), (8, texts["D"]), (6, texts["D"]), (6, texts["E"]), (6, "one"), (4, "one"), (2, None), (2, texts["C"])] + [(6, f"{i} words of its own") for i in range(20)]
+    want = brute.near(rows)
+    assert want[9] == want[7] == want[5] == 3 and want[8] == 4 and want[2] == 1
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter((d, want[d], want[d] == d) for d, _ in rows)
+
+
+def test_hot_buckets_are_found(spark, monkeypatch):
+    """Counts that are merged from tasks and cut to the most frequent still show every key above the share."""
+    import pyarrow as pa
+
+    bands = [np.array([i, *range(i * 20, i * 20 + 15)] if i % 3 else range(16), "<u4").tobytes() for i in range(3000)]
+    whole = pa.record_batch([pa.array(bands, pa.binary())], names=["bands"])
+    found = {}
+    for r in (x for b in neardup._heavy([whole.slice(0, 1000), whole.slice(1000)]) for x in b.to_pylist()):
+        found[r["key"]] = r["n"]
+    keys = Counter(neardup._table_keys(whole.column(0)).ravel().tolist())
+    short = sum(keys.values()) // neardup.HEAVY
+    assert {k for k, n in keys.items() if n > short} <= set(found) and all(keys[k] - short <= n <= keys[k] for k, n in found.items())
+    monkeypatch.setattr(neardup, "HEAVY", 512)
+    few = {r["key"]: r["n"] for b in neardup._heavy([whole.slice(0, 1000), whole.slice(1000)]) for r in b.to_pylist()}
+    assert {k for k, n in keys.items() if n > 2 * 192_000 // 512} <= set(few) and len(few) <= 512 and all(n <= keys[k] for k, n in few.items())
+    monkeypatch.undo()
+    df = spark.createDataFrame([(b,) for b in bands], "bands binary").repartition(4)
+    assert neardup.hot_buckets(df, 3000, 10**4) == {} and len(neardup.hot_buckets(df, 3000, 800)) == 64
+    same = df.select(F.lit(bands[0]).alias("bands"))
+    assert len(neardup.hot_buckets(same, 3000, 500)) == 64
+
+
 def test_near_dedup_keeps_all_columns(docs, rows):
     want = brute.near(rows)
     out = neardup.near_dedup(docs)
@@ -242,7 +300,7 @@ def test_stars_and_pairs_of_a_split_bucket():
 
     n = np.array([10, 10, 11, 13, 14, 40, 41, 7, 9, 9], np.int64)
     key, v = np.array([1] * 7 + [2] * 2 + [3], np.int64), np.arange(10, dtype=np.int64)
-    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(v), pa.array(n)], names=["key", "v", "n"])
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(10, -1)), pa.array(v), pa.array(n)], names=["key", "salt", "v", "n"])
     one = [r for b in neardup._stars(85)([whole]) for r in b.to_pylist()]
     for cut in range(1, 10):
         parts = [r for b in neardup._stars(85)([whole.slice(0, cut), whole.slice(cut)]) for r in b.to_pylist()]
@@ -316,13 +374,55 @@ def test_secret_ownership(spark):
     rows = [(1, f"é {live}", "a"), (2, f"{live} again", "a"), (3, shared, "a"), (4, shared, "b"), (5, shared, None), (5, shared, None), (6, f"password={'q' * 8}", None), (7, None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in secrets.scan(df).collect()}
-    assert got[1].spans == "vendor:2:36" and got[1].n_live == 1 and got[1].live == "vendor:2:36"
+    assert got[1].spans == "vendor:2:36" and got[1].n_live == 1 and [tuple(x) for x in got[1].live] == [("vendor:2:36", 2, 1, 1)]
     assert got[3].spans == "" and got[3].n_example == 1 and got[3].n_live == 0
     assert got[6].spans == "assign:0:17" and got[6].n_live == 1
     two = {r.doc_id: r for r in secrets.scan(df, live_owners=3).collect()}
     assert two[4].spans == "vendor:0:34"
 
 
+def test_secret_ownership_over_a_corpus(spark):
+    """Verdicts by plain counts: copies over owners, over many repositories of one owner, repeated rows, nulls, a hot live value."""
+    r = np.random.RandomState(8)
+    values = ["sk_live_" + "".join(r.choice(list("abcXYZ0189"), 24)) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        repo = None if i % 31 == 0 else f"r{i % 5 if i % 4 else i % 17}"
+        owner = None if i % 37 == 0 else f"o{i % 4}"
+        text = " é ".join(values[k] for k in r.randint(0, 12, r.randint(0, 3))) if i % 3 else f"mine {values[0][:-3]}{i % 40:03d} and hot sk_live_{'q1' * 12}"
+        rows.append((i // 2, text, repo, owner if i % 3 else "o9"))
+    docs, repos, owners = {}, {}, {}
+    for k, (_, t, repo, owner) in enumerate(rows):
+        for v in {t[s:e] for s, kind, _, s, e in ((a, b, c, d, f) for a, b, c, d, f in secrets.find(t.encode())) if kind == 3} if t.isascii() else {t.encode()[d:f].decode() for a, b, c, d, f in secrets.find(t.encode()) if b == 3}:
+            docs.setdefault(v, set()).add(k)
+            repos.setdefault(v, set()).add(repo)
+            owners.setdefault(v, set()).add(owner)
+    df = spark.createDataFrame(rows, "doc_id long, text string, Repo string, Owner string").repartition(3)
+    for most_owners, most_repos in ((1, 2), (1, 100), (2, 4), (100, 3)):
+        want = Counter()
+        for _, t, _, _ in rows:
+            found = [(len(t.encode()[:a].decode()), t.encode()[d:f].decode()) for a, b, _, d, f in secrets.find(t.encode())]
+            live = [(f"vendor:{a}:{a + len(v)}", len(docs[v]), len(repos[v]), len(owners[v])) for a, v in found if len(owners[v]) <= most_owners and len(repos[v]) <= most_repos]
+            want[(t, str(live), len(found) - len(live))] += 1
+        got = secrets.scan(df.withColumn("copy", F.col("text")), F.col("Repo"), F.col("Owner"), most_owners, most_repos).collect()
+        assert Counter((x.copy, str([tuple(y) for y in x.live]), x.n_example) for x in got) == want
+        assert sum(x.n_live for x in got) and sum(x.n_example for x in got)
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    r = np.random.RandomState(3)
+    tokens = ["".join(r.choice(list("xyzXYZ0189"), 40)) + "aA1" for _ in range(20_000)]
+    text = "é " + " ".join(x + " " + "0af1" * 8 for x in tokens)
+    began = time.perf_counter()
+    (row,) = secrets.candidates(pa.array([text])).to_pylist()
+    assert len(row) == 40_000 and time.perf_counter() - began < 5
+    assert all(text[x["start"] : x["end"]] in (tokens[i // 2], "0af1" * 8) for i, x in enumerate(sorted(row, key=lambda x: x["start"])))
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     for out in (licenses.scan(empty), linededup.line_dedup(empty), decontam.decontaminate(empty, bench), neardup.groups(empty), neardup.near_dedup(empty), packing.pack(empty, *queries.vocabulary()), secrets.scan(empty), toxicity.score(empty, toxicity.train([], [])), quality.score(empty, quality.train([], []))):
@@ -330,11 +430,38 @@ def test_empty_tables(spark, empty):
     assert embdup.groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
-def test_reserved_names(docs):
-    odd = docs.withColumn("__row", F.lit(1))
-    for f in (linededup.line_dedup, secrets.scan):
-        with pytest.raises(ValueError):
-            f(odd)
+CLASHING = ["Text", "DOC_ID", "N_Words", "N_Hit", "Score", "SCORE", "Live", "N_lines", "Labels", "Kept", "__row", "row", "ROW", "Source", "x0_", "same", "same"]
+
+
+def test_clashing_names(spark):
+    """Names that differ from inner ones, results or needed columns in case alone, or not at all: values stay, results replace their namesakes."""
+    rows = [(1, "the mit license", "a"), (2, "password=abcdef12 one two three", "b"), (2, "password=abcdef12 one two three", "b"), (3, None, None)]
+    docs = spark.createDataFrame([(*r, *[f"v{i}" for i in range(len(CLASHING))]) for r in rows], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), *[T.StructField(c, T.StringType()) for c in CLASHING]]))
+    bench = spark.createDataFrame([(1, "one two three", "x")], "item_id long, text string, TEXT string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2, 5) for i in range(1, 4)], "doc_id long, quality int, toxic int, Doc_Id int")
+    few = docs.toDF("doc_id", "text", "source", *[f"c{i}" for i in range(len(CLASHING))]).select("doc_id", "text", "source")
+    for f, made in (
+        (lambda d: licenses.scan(d), licenses.RESULT.names),
+        (lambda d: decontam.decontaminate(d, bench), decontam.RESULT.names),
+        (lambda d: decontam.decontaminate(d, bench, max_windows=0 + 1), decontam.RESULT.names),
+        (lambda d: linededup.line_dedup(d, 2), ["n_lines", "n_dropped"]),
+        (lambda d: linededup.line_dedup(d, 2, keep="first", max_broadcast=0), ["n_lines", "n_dropped"]),
+        (lambda d: secrets.scan(d), [x.name for x in secrets._RESULT]),
+        (lambda d: neardup.near_dedup(d), []),
+        (lambda d: toxicity.score(d, toxicity.fit(d, labels), d.columns), ["score"]),
+        (lambda d: quality.score(d, quality.fit(d, labels), d.columns), ["score"]),
+    ):
+        out, plainly = f(docs), f(few)
+        low = {m.lower() for m in made}
+        kept = [c for c in docs.columns if c.lower() not in low]
+        at = [i for i, c in enumerate(out.columns) if c in kept and c not in plainly.columns]
+        own = [next(i for i, x in enumerate(out.columns) if x == c) for c in plainly.columns]
+        assert [out.columns[i] for i in at] == [c for c in kept[3:]]
+        rows_out = out.collect()
+        assert all(r[i] == f"v{CLASHING.index(out.columns[i])}" for r in rows_out for i in at if out.columns[i] != "same")
+        assert sorted(str([r[i] for i in own]) for r in rows_out) == sorted(str(list(r)) for r in plainly.collect())
+    assert neardup.groups(docs).count() == 4
+    assert sum(r.length for r in packing.pack(docs, *queries.vocabulary()).collect()) == sum(r.length for r in packing.pack(few, *queries.vocabulary()).collect())
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 4097])
@@ -361,6 +488,8 @@ def test_training_order(spark, docs, rows, tmp_path):
     assert sorted(map(len, files)) == sorted(len(k) // 4 for k in want.elements())
     by = {r.slot: r for r in got}
     assert all(zlib.crc32(x.tobytes()) == by[i].ids_crc32 and len(x) == by[i].n_tokens for i, x in enumerate(files))
+    trainorder.materialise(docs, path + "4", *vocabulary, size=256, rows=20, tasks=1).count()  # several shards a task
+    assert [x.tolist() for x in trainorder.read(path + "4")] == [x.tolist() for x in files] and n // 20 > 4
     again = list(trainorder.read(path, n - 70, 60))
     assert [x.tolist() for x in again] == [x.tolist() for x in files[n - 70 : n - 10]]
     with pytest.raises(Exception, match="doesn't fit"):
