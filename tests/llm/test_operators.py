@@ -330,14 +330,14 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("hot", [embdup.HOT, 8])
-def test_embedding_dedup(spark, hot):
+@pytest.mark.parametrize("hot, most", [(embdup.HOT, embdup.HOT_MAP), (8, embdup.HOT_MAP), (8, 0)])
+def test_embedding_dedup(spark, hot, most):
     rows = vectors()
     links = brute.vector_links(rows)
     n = Counter(i for e in links for i in e)
     comp = brute.closure({d for d, _ in rows if d is not None}, [(rows[i][0], rows[j][0]) for i, j in links])
     df = spark.createDataFrame([(d, v, 1, "x", "y") for d, v in rows], "vec_id long, embedding array<double>, label int, digest string, rep string").repartition(3)
-    got = embdup.groups(df, hot=hot).collect()
+    got = embdup.groups(df, hot=hot, hot_map=most).collect()
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter((d, n[i], comp.get(d)) for i, (d, _) in enumerate(rows))
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
@@ -352,10 +352,35 @@ def test_embedding_recall_at_the_threshold():
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * y
     for n in (1e3, 1e5, 1e7, 1e8):
-        k = int(np.ceil(np.sqrt(n * embdup.FILTERS / embdup.PER_FILTER)))
+        k = embdup.directions(int(n))
         a, b = embdup.decode(x, k), embdup.decode(y, k)
-        found = np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())])
-        assert found >= (0.99 if n < 1e6 else 0.9), (n, found)
+        found = np.mean([bool(set(p) & set(q)) for p, q in zip(a, b)])
+        assert found >= (0.99 if n < 1e8 else 0.98), (n, found)
+        assert embdup.FEWEST * embdup.CODES <= np.mean([len(p) for p in a]) <= 16
+
+
+def test_embedding_links_of_a_whole_table(spark):
+    """Pairs at and around the least cosine, among vectors of their own, exact copies and a shared id."""
+    r = np.random.RandomState(12)
+    x = r.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal(x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = np.linspace(0.93, 0.97, 3000)[:, None]
+    v = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    rows = [(i, e.tolist()) for i, e in enumerate(v)] + [(7000, v[5].tolist()), (7000, v[9].tolist())]
+    whole = np.array([e for _, e in rows])
+    unit = whole / np.linalg.norm(whole, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    want = linked.sum(1)
+    got = {}
+    for row in embdup.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect():
+        got.setdefault(row.vec_id, []).append(row)
+    n = np.array([got[i][0].n_links for i in range(6000)])
+    assert (n <= want[:6000]).all() and n.sum() >= 0.99 * want[:6000].sum() and want.sum() > 3000
+    assert got[5][0].component_id == got[9][0].component_id == 5 and {x.component_id for x in got[7000]} == {5}
 
 
 def test_secrets(docs, rows):
