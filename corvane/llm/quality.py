@@ -1,9 +1,10 @@
 """Quality: two zstandard dictionaries, built from good and from bad labelled text, and their compressed sizes.
 
-A text is compressed whole with either dictionary. The difference of the two sizes,
-normalised by the larger, says which kind of text explains it better; with the
-compressed ratio (text that either explains too well is repetitive) and the length it
-is calibrated to a probability by a logistic fit on labelled texts that built neither
+A text's compressed size with either dictionary is the sum over all its pieces of ``SCORED`` bytes, so that a long text
+can't become its own dictionary. The difference of the two sizes,
+normalised by the larger, says which kind of text explains it better. The score is a logistic fit of this difference,
+saturated at two scales and weighted by the text's log length; every term is 0 where the difference is, so length or
+compressibility alone don't score. It is calibrated on labelled texts that built neither
 dictionary. What goes to the workers is two dictionaries of at most ``DICT_BYTES`` each and
 a dozen numbers.
 
@@ -11,9 +12,10 @@ Training uses a bounded sample (``MAX_TRAIN`` documents of either class, at most
 ``MAX_TRAIN_BYTES`` of text; two thirds for the dictionaries, the rest for calibration);
 scoring covers every row and whole texts. Nothing but the text is an input of a score.
 
-Defined results: a null or empty text is scored like any other, from its sizes; with labels of one
-class alone, or none, every score is the smoothed share of class 1; repeated rows are
-scored each; extra columns are ignored; null labels aren't used.
+Defined results: a null or empty text has no difference, so its score is the fit's at 0; with labels of one
+class alone, or none, every score is the smoothed share of class 1; a class of one or two texts calibrates on what built
+its dictionary; fewer than 16 pieces of ``PIECE`` bytes, or pieces that zstandard can't train on, are a raw dictionary as they stand (at most
+their last ``DICT_BYTES``); repeated rows are scored each; extra columns are ignored; null labels aren't used.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .toxicity import sample
 DICT_BYTES = 112_640
 LEVEL = 3
 PIECE = 2048
+SCORED = 128
+FEATURES = 6
 MAX_TRAIN = 2000
 MAX_TRAIN_BYTES = 16 << 20
 RIDGE = 1e-3
@@ -58,19 +62,21 @@ class Model:
 
 
 def sizes(texts, compressors) -> np.ndarray:
-    """(bytes, size with the bad dictionary, with the good one) of each text."""
-    bad, good = compressors
-    return np.array([(len(t), len(bad.compress(t)), len(good.compress(t))) for t in texts], np.float64).reshape(-1, 3)
+    """(bytes, size with the bad dictionary, with the good one) of each text; sizes are summed over pieces."""
+    bad, good = (c.compress for c in compressors)
+    out = []
+    for t in texts:
+        pieces = [t[i : i + SCORED] for i in range(0, len(t), SCORED)]
+        out.append((len(t), sum(len(bad(x)) for x in pieces), sum(len(good(x)) for x in pieces)))
+    return np.array(out, np.float64).reshape(-1, 3)
 
 
 def expand(s: np.ndarray) -> np.ndarray:
-    """The features: normalised difference, compressed ratio, length, and their products."""
+    """The features: the normalised difference, saturated at two scales, and each times the log length."""
     n, bad, good = s.T
-    d = (bad - good) / np.maximum(bad, good)
-    r = np.log(np.minimum(bad, good) / (n + 16))
-    a = np.log(n + 16)
-    short = 1 / np.sqrt(n + 16)
-    return np.column_stack([d, np.tanh(8 * d), np.tanh(30 * d), r, r * r, a, a * a, d * a, np.tanh(8 * d) * r, short])
+    d = (bad - good) / np.maximum(1, np.maximum(bad, good))
+    x = np.column_stack([d, np.tanh(8 * d), np.tanh(30 * d)])
+    return np.column_stack([x, x * (np.log(n + 16) / 8)[:, None]])
 
 
 def _dictionary(texts: list[bytes]) -> bytes | None:
@@ -91,10 +97,10 @@ def _dictionary(texts: list[bytes]) -> bytes | None:
 def train(texts: list[str], labels: list[int]) -> Model:
     y = np.asarray(labels, np.int64)
     raw = [t.encode() for t in texts]
-    flat = np.zeros(10), np.ones(10)
-    if len(y) < 6 or y.min() == y.max():
+    flat = np.zeros(FEATURES), np.ones(FEATURES)
+    if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return Model([None, None], *flat, np.array([np.log(p / (1 - p))] + [0.0] * 10))
+        return Model([None, None], *flat, np.array([np.log(p / (1 - p))] + [0.0] * FEATURES))
     order = {k: [i for i in range(len(y)) if y[i] == k] for k in (0, 1)}
     build = {k: [i for j, i in enumerate(v) if j % 3 or len(v) < 3] for k, v in order.items()}
     held = [i for k, v in order.items() for j, i in enumerate(v) if j % 3 == 0]
