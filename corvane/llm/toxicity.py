@@ -35,8 +35,6 @@ STEPS = 120
 RATE = 0.03
 DECAY = 1e-4
 MIN_Z = 4.5
-MIN_EFFECT = 0.17
-MAX_USED = 8192
 SCALE = 100.0
 SEED = 7
 CACHE_BITS = 19
@@ -64,8 +62,8 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """One number for each bucket, and the bias; the log-odds of class 1 are bias + mean of the features' numbers.
 
-    Buckets whose document share differs between the classes by less than ``MIN_Z``
-    standard errors, or correlates with the class by less than ``MIN_EFFECT``, keep the zero vector; the others' vectors are learned.
+    The vocabulary: buckets whose document share differs between the classes by ``MIN_Z``
+    standard errors or more, whatever their number and the sample's size; the others keep the zero vector.
     """
     labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
@@ -84,27 +82,29 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     share = df / n
     pooled = (df.sum(0) + 1) / (n.sum() + 2)
     z = (share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum())
-    used = np.flatnonzero(np.abs(z) >= max(MIN_Z, MIN_EFFECT * np.sqrt(n.sum())))
-    used = used[np.argsort(-np.abs(z[used]), kind="stable")][:MAX_USED]
-    x = np.zeros((len(texts), len(used)), np.float32)
+    used = np.flatnonzero(np.abs(z) >= MIN_Z)
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
+    rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for i, (at, v) in enumerate(seen):
         k = place[at]
-        x[i, k[k >= 0]] = v[k >= 0]
-    x *= SCALE  # the mean of many features is short
+        rows.append(np.full((k >= 0).sum(), i))
+        cols.append(k[k >= 0])
+        values.append(v[k >= 0] * np.float32(SCALE))  # the mean of many features is short
+    rows, cols, values = (np.concatenate(v) for v in (rows, cols, values))
+    by_row, by_col = _sums(rows, len(texts)), _sums(cols, len(used))
     rng = np.random.RandomState(SEED)
     emb, w, b = (rng.standard_normal((len(used), DIM)) * 0.01).astype(np.float32), (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
     y = np.eye(2, dtype=np.float32)[labels]
     weight = (len(labels) / (2 * n[:, 0]))[labels][:, None].astype(np.float32) / len(labels)
     state = [(np.zeros_like(a), np.zeros_like(a)) for a in (emb, w, b)]
     for step in range(1, STEPS + 1):
-        mean = x @ emb
+        mean = by_row(values[:, None] * emb[cols])
         o = mean @ w + b
         p = np.exp(o - o.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - y) * weight
-        grads = (x.T @ (g @ w.T) + DECAY * emb, mean.T @ g + DECAY * w, g.sum(0))
+        grads = (by_col(values[:, None] * (g @ w.T)[rows]) + DECAY * emb, mean.T @ g + DECAY * w, g.sum(0))
         for a, d, (m, v) in zip((emb, w, b), grads, state):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -114,6 +114,20 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     return table, float(b[1] - b[0])
 
 
+def _sums(key: np.ndarray, n: int):
+    """The function that sums rows by their key in 0 .. n - 1."""
+    order = np.argsort(key, kind="stable")
+    some, first = np.unique(key[order], return_index=True)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]), np.float32)
+        if len(some):
+            out[some] = np.add.reduceat(x[order], first, axis=0)
+        return out
+
+    return run
+
+
 class Scorer:
     """Scores Arrow string columns; a word's sums are cached by its hash."""
 
