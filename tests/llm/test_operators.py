@@ -116,6 +116,39 @@ def test_held_out_accuracy(spark, sf):
         assert sum(r.predicted == r[label] for r in rows) >= 0.9 * len(rows), label
 
 
+def test_quality_scores_are_those_of_plain_sizes(spark, rows):
+    """Every score from compressed sizes taken piece by piece, and nothing else: texts without a difference all score the same."""
+    import math
+
+    import zstandard
+
+    texts, labels = [t for d, t in rows if d and d >= 1000], [int((d - 1000) % 4 != 1) for d, t in rows if d and d >= 1000]
+    model = quality.train(texts, labels)
+    dicts = [zstandard.ZstdCompressionDict(x) for x in model.dicts]
+    size = lambda t, d: sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d).compress(t[i : i + 128])) for i in range(0, len(t), 128))
+    some = [(i, t) for i, (_, t) in enumerate(rows) if i % 7 == 0 or not t]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    for i, t in some:
+        raw = (t or "").encode()
+        bad, good = (size(raw, d) for d in dicts)
+        d = (bad - good) / max(bad, good, 1)
+        x = [d, math.tanh(8 * d), math.tanh(30 * d)]
+        x += [v * math.log(len(raw) + 16) / 8 for v in x]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.spread))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), i
+    assert len({quality.Model(model.dicts, model.mean, model.spread, model.weights).score(np.array([[n, k, k]]))[0] for n, k in ((0, 0), (50, 40), (10**6, 10**5))}) == 1
+
+
+@pytest.mark.parametrize("good, bad", [(1, 1), (2, 3), (5, 40), (200, 1)])
+def test_quality_learns_from_few_or_uneven_labels(good, bad):
+    """Few pieces are raw dictionaries; a class of one or two calibrates on what built its dictionary."""
+    r = np.random.RandomState(3)
+    text = lambda k: " ".join(r.choice(list("abcdefgh"), 6).astype(object).sum() + k for _ in range(40))
+    model = quality.train([text("") for _ in range(good)] + [text("***") for _ in range(bad)], [1] * good + [0] * bad)
+    p = model.score(quality.sizes([text("").encode(), text("***").encode(), b""], model.compressors()))
+    assert ((0 <= p) & (p <= 1)).all() and (p[0] > p[1] or min(good, bad) < 5)
+
+
 def test_classifiers_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}
