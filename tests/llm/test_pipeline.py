@@ -55,3 +55,11 @@ def test_stages(spark, folder, items):
     check_pieces(out.collect(), before)
 
     assert sorted(map(tuple, cp.run(spark, folder).select("doc_id", "start", "length", "ids_crc32").collect()), key=str) == sorted(map(tuple, out.select("doc_id", "start", "length", "ids_crc32").collect()), key=str) or sum(r.length for r in cp.run(spark, folder).collect()) == sum(r.length for r in out.collect())
+
+
+def test_stages_keep_columns_of_clashing_names(spark, folder):
+    docs = source(spark, folder, "documents").where("doc_id < 50 OR doc_id IS NULL").withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in ("score", "n_hit", "n_lines", "kept", "N_Words")})
+    for name, f in cp.STAGES[:-1]:
+        out = f(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in out.collect() for c in ("score", "n_hit", "n_lines", "kept", "N_Words")), name
