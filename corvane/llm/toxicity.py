@@ -34,7 +34,7 @@ MAX_TRAIN_BYTES = 8 << 20
 STEPS = 120
 RATE = 0.03
 DECAY = 1e-4
-MIN_Z = 4.5
+MIN_Z = 5.0
 SCALE = 100.0
 SEED = 7
 CACHE_BITS = 19
