@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.functions import nl
 from corvane.functions.code import complexity, estimate_tokens
+from corvane.operators import graph, search
 
 
 def pack(sections: DataFrame, budget: int, reserved: int = 0, group: str | None = None) -> DataFrame:
@@ -32,6 +34,33 @@ def markdown(sections: DataFrame, group: str | None = None) -> DataFrame:
     return (sections.groupBy(group) if group else sections.groupBy()).agg(text.alias("markdown"))
 
 
+def build(question: str, hits: DataFrame, symbols: DataFrame, edges: DataFrame, documents: DataFrame, budget: int, reserved: int = 0, depth: int = 2) -> DataFrame:
+    """One row (markdown): what a model should read to answer a question, within a token budget.
+
+    Sections by priority: texts that a search found, (doc_id, path, snippet) in order (9); the calls around the symbol that the question names (7, only if it names one);
+    totals and the largest directories (5). Each part comes from its operator and is a few rows at most, but for calls, which
+    the neighbours' cap and the depth bound.
+    """
+    spark = hits.sparkSession
+    row = "priority int, pos int, title string, content string"
+    found = [(9, i, f"{r.path}", r.snippet) for i, r in enumerate(hits.collect())]  # a search's k best
+    named = [r[0] for r in spark.range(1).select(F.explode(nl.symbols(F.lit(question)))).collect()]
+    for name in named:
+        start = search.lookup(symbols, name).first()
+        if start is not None:
+            met = graph.trace(edges, start.id, depth, "both")[1]
+            name_of = lambda end: symbols.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+            src, dst = (F.when(F.col("direction") == "outbound", x).otherwise(y) for x, y in (("a", "b"), ("b", "a")) for x, y in ((F.col(x), F.col(y)),))
+            lines = met.select(src.alias("s"), dst.alias("d")).distinct().join(name_of("s"), "s").join(name_of("d"), "d")
+            text = lines.agg(F.array_join(F.array_sort(F.collect_list(F.concat("s_name", F.lit(" -> "), "d_name"))), "\n").alias("t")).first().t
+            found.append((7, len(found), f"Calls around {name}", text))
+            break
+    totals, largest = graph.architecture(documents, symbols, edges).first(), graph.modules(documents, symbols, 5).collect()
+    about = "\n".join([f"{totals.files} files, {totals.symbols} symbols, {totals.edges} edges", *(f"{m.module}: {m.files} files, {m.symbols} symbols" for m in largest)])
+    found.append((5, len(found), "Architecture", about))
+    return markdown(pack(spark.createDataFrame(found, row), budget, reserved))
+
+
 def summarize(symbols: DataFrame) -> DataFrame:
     """Summaries of (id, name, kind, code): signature, purpose (the first comment line), key operations (called names in order of appearance), dependencies, complexity."""
     lines = F.split("code", "\n", -1)

@@ -7,68 +7,56 @@ shared folder is configured, so plans stay short and lost executors recompute on
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.sources.store import stored
+
 NEIGHBOURS = 50
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the session's shared folder; without one the plan just grows, as depth is small."""
+    """Cuts the lineage with a checkpoint in the session's shared folder; without one, in local mode, with a table in a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            return df
+            return stored(df, "graph")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df to the session's shared folder and reads it again, for loops of many steps, where a chain of checkpoints runs out of driver memory.
-
-    Where ``spark.checkpoint.dir`` is unset, a temporary folder is taken in local mode alone.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def neighbours(edges: DataFrame, direction: str = "outbound", most: int = NEIGHBOURS, of: DataFrame | None = None) -> DataFrame:
+    """(a, b, confidence, direction): each node's best ``most`` neighbours by confidence, then id; of the nodes ``of`` (a) alone, if they are given.
 
-def neighbours(edges: DataFrame, direction: str = "outbound", most: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, confidence, direction): each node's best ``most`` neighbours by confidence, then id.
-
-    A node's rank needs its edges in order; hot nodes are first cut to ``most`` within each
+    The nodes asked for are joined first, so only their edges are ranked. A node's rank needs its edges in order; hot nodes are first cut to ``most`` within each
     of their salts, which drops only edges that the rank would drop as well.
     """
     e = edges.where(F.col("edge_type") == "calls")
-    out = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "confidence", F.lit("outbound").alias("direction"))
-    back = e.select(F.col("dst").alias("a"), F.col("src").alias("b"), "confidence", F.lit("inbound").alias("direction"))
-    both = {"outbound": out, "inbound": back}.get(direction) or out.unionByName(back)
+    end = lambda a, b, d: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(d).alias("direction"))
+    ends = {"outbound": [end("src", "dst", "outbound")], "inbound": [end("dst", "src", "inbound")]}
+    ends["both"] = ends["outbound"] + ends["inbound"]
+    both = e.select("confidence", F.explode(F.array(*ends[direction])).alias("e")).select("e.a", "e.b", "confidence", "e.direction")
+    if of is not None:
+        both = both.join(of.select("a").distinct(), "a", "left_semi")
     best = lambda *k: F.row_number().over(Window.partitionBy("direction", "a", *k).orderBy(F.desc("confidence"), "b"))
     salted = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
     return salted.withColumn("r", best("salt")).where(F.col("r") <= most).withColumn("r", best()).where(F.col("r") <= most).select("a", "b", "confidence", "direction")
 
 
 def trace(edges: DataFrame, start: int, depth: int, direction: str = "outbound") -> tuple[DataFrame, DataFrame]:
-    """Breadth-first from a node: (id, depth) of all nodes within ``depth``, and the edges met while expanding, (a, b, confidence, direction, depth)."""
+    """Breadth-first from a node: (id, depth) of all nodes within ``depth``, and the edges met while expanding, (a, b, confidence, direction, depth).
+
+    edges should be a stored table: each depth reads it once.
+    """
     if depth < 1:
         raise ValueError("depth is at least 1")
-    spark, near = edges.sparkSession, neighbours(edges, direction)
-    seen = spark.createDataFrame([(start, 0)], "id long, depth int")
+    seen = edges.sparkSession.createDataFrame([(start, 0)], "id long, depth int")
     frontier, met = seen, None
     for d in range(1, depth + 1):
-        step = near.join(F.broadcast(frontier.select(F.col("id").alias("a"))) if d == 1 else frontier.select(F.col("id").alias("a")), "a")
-        part = step.withColumn("depth", F.lit(d - 1))
+        part = cut(neighbours(edges, direction, of=frontier.select(F.col("id").alias("a"))).withColumn("depth", F.lit(d - 1)))
         met = part if met is None else met.unionByName(part)
-        frontier = cut(step.select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = part.select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(frontier)
     return seen, met
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions.tokenize import emissions, identifiers
+from corvane.sources.store import path_of
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,15 @@ class Index:
 
     def terms(self) -> DataFrame:
         """(term, df, cf)."""
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return _terms(self.postings())
+
+    def stats(self) -> DataFrame:
+        """One row (n, average) of documents and their mean length."""
+        return self.docs.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("token_count"), F.lit(0.0)), F.lit(1.0)).alias("average"))
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def build(corpus: DataFrame, symbols: DataFrame | None = None) -> Index:
@@ -41,27 +50,81 @@ def build(corpus: DataFrame, symbols: DataFrame | None = None) -> Index:
     return Index(docs, tokens)
 
 
+@dataclass(frozen=True)
+class Overlaid:
+    """A segment under an overlay: documents of ``dead`` (path) don't count, those of the overlay do. Only the overlay's texts are read. The two have no doc_id in common."""
+
+    base: Segment
+    overlay: Index
+    dead: DataFrame
+
+    @property
+    def docs(self) -> DataFrame:
+        columns = ["doc_id", "path", "token_count"]
+        return self.base.docs.join(self.dead, "path", "left_anti").select(*columns).unionByName(self.overlay.docs.select(*columns))
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        gone = self.base.docs.join(self.dead, "path", "left_semi").select("doc_id")
+        new = self.overlay.postings(terms).join(self.overlay.docs.select("doc_id", "token_count"), "doc_id")
+        return self.base.postings(terms).join(gone, "doc_id", "left_anti").unionByName(new)
+
+    def terms(self, terms: list[str] | None = None) -> DataFrame:
+        return _terms(self.postings(terms))
+
+    def stats(self) -> DataFrame:
+        return Index(self.docs, self.docs).stats()
+
+
 def write_segment(index: Index, root: str, buckets: int = 64) -> str:
     """Writes a new immutable segment and then moves the project's pointer to it; readers see the old or the new one.
 
-    Postings are laid out by a hash of the term and sorted, so that a query reads the directories and row groups of its terms alone.
+    Postings are laid out by a hash of the term and sorted, so that a query reads the directories and row groups of its terms alone;
+    each has its document's length, so that ranking needs no table of documents. Terms with their counts and the corpus' statistics are stored beside them.
     """
     spark = index.docs.sparkSession
     path = f"{root}/segments/{uuid.uuid4().hex}"
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    index.postings().withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
     index.docs.write.parquet(f"{path}/docs")
-    spark.createDataFrame([(path, buckets)], "path string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{root}/next")
-    fs, p = _fs(spark, root)
-    fs.delete(p(f"{root}/current"), True)
-    if not fs.rename(p(f"{root}/next"), p(f"{root}/current")):
-        raise OSError(f"can't move the pointer of {root}")
+    docs = spark.read.parquet(f"{path}/docs")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    full = index.postings().join(docs.select("doc_id", "token_count"), "doc_id").select("term", "doc_id", "tf", "first_pos", "token_count").withColumn("bucket", bucket)
+    # several tasks a bucket, by document, so that a term that most documents have isn't one task's
+    full.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    _terms(spark.read.schema(full.schema).parquet(f"{path}/postings")).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    Index(docs, docs).stats().coalesce(1).write.parquet(f"{path}/stats")
+    _point(spark, root, path, buckets)
     return path
 
 
-def _fs(spark: SparkSession, root: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    return jpath(root).getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+def _point(spark: SparkSession, root: str, path: str, buckets: int) -> None:
+    """Pointers are numbered and never overwritten, so a reader finds one at any moment: the newest that is complete."""
+    fs, base = path_of(spark, f"{root}/pointers")
+    n = 1 + max(_pointers(fs, base), default=0)
+    spark.createDataFrame([(path, buckets)], "path string, buckets int").coalesce(1).write.parquet(f"{root}/pointers/.new-{n}")
+    if not fs.rename(path_of(spark, f"{root}/pointers/.new-{n}")[1], path_of(spark, f"{root}/pointers/{n}")[1]):
+        raise OSError(f"can't move the pointer of {root}")
+
+
+def _pointers(fs, base) -> list[int]:
+    return [int(f.getPath().getName()) for f in fs.listStatus(base) if f.getPath().getName().isdigit()] if fs.exists(base) else []
+
+
+def projects(spark: SparkSession, root: str) -> DataFrame:
+    """(project, segments, documents): the projects under root, by name, with the number of their segments and the documents of the current one."""
+    fs, base = path_of(spark, root)
+    rows = []
+    for name in sorted(f.getPath().getName() for f in fs.listStatus(base)) if fs.exists(base) else []:
+        own, p = path_of(spark, f"{root}/{name}/pointers")
+        if found := _pointers(own, p):
+            rows.append((name, len(found), open_segment(spark, f"{root}/{name}").docs.count()))
+    return spark.createDataFrame(rows, "project string, segments long, documents long")
+
+
+def delete_project(spark: SparkSession, root: str, project: str) -> bool:
+    """Removes a project with its segments; whether there was one."""
+    if not project or "/" in project or project.startswith("."):
+        raise ValueError("not a project's name")
+    fs, p = path_of(spark, f"{root}/{project}")
+    return bool(fs.exists(p) and fs.delete(p, True))
 
 
 @dataclass(frozen=True)
@@ -71,16 +134,33 @@ class Segment:
     docs: DataFrame
     stored: DataFrame
     buckets: int
+    stored_terms: DataFrame
+    stored_stats: DataFrame
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         if terms is None:
             return self.stored.drop("bucket")
-        spark = self.stored.sparkSession
-        at = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
-        return self.stored.where(F.col("bucket").isin(at) & F.col("term").isin(terms)).drop("bucket")
+        return self._of(self.stored, terms)
+
+    def terms(self, terms: list[str] | None = None) -> DataFrame:
+        """(term, df, cf), of the given terms or all."""
+        return self.stored_terms.drop("bucket") if terms is None else self._of(self.stored_terms, terms)
+
+    def stats(self) -> DataFrame:
+        return self.stored_stats
+
+    def _of(self, table: DataFrame, terms: list[str]) -> DataFrame:
+        spark = table.sparkSession
+        hashed = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        at = sorted({r[0] for r in hashed.collect()})  # a local relation, evaluated without a job
+        return table.where(F.col("bucket").isin(at) & F.col("term").isin(terms)).drop("bucket")
 
 
 def open_segment(spark: SparkSession, root: str) -> Segment:
-    """The segment that the project's pointer names."""
-    path, buckets = spark.read.parquet(f"{root}/current").first()
-    return Segment(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets)
+    """The segment that the project's newest pointer names."""
+    fs, base = path_of(spark, f"{root}/pointers")
+    path, buckets = spark.read.schema("path string, buckets int").parquet(f"{root}/pointers/{max(_pointers(fs, base))}").first()
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    docs = spark.read.parquet(f"{path}/docs")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return Segment(docs, table("postings", f"term string, doc_id {kind}, tf long, first_pos long, token_count long, bucket int"), buckets, table("terms", "term string, df long, cf long, bucket int"), table("stats", "n long, average double"))

@@ -35,6 +35,26 @@ def decisions(adrs: DataFrame, status: str | None = None, k: int = 20) -> DataFr
     return a.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
 
 
+def decide(adrs: DataFrame, title: str, context: str, decision: str, created_at: str, status: str = "accepted", supersedes: int | None = None) -> DataFrame:
+    """adrs (id, title, context, decision, status, superseded_by, created_at) with one more, numbered after the last. The one it supersedes is marked."""
+    if not title or not decision:
+        raise ValueError("a decision has a title and a text")
+    last = adrs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    values = {"title": title, "context": context, "decision": decision, "status": status, "superseded_by": None, "created_at": created_at}
+    cast = lambda c, v: F.lit(v).cast(adrs.schema[c].dataType).alias(c)
+    new = last.select((F.col("last") + 1).cast(adrs.schema["id"].dataType).alias("id"), *[cast(c, v) for c, v in values.items()])
+    if supersedes is None:
+        return adrs.select(*new.columns).unionByName(new)
+    old = F.col("id") == supersedes
+    marked = adrs.crossJoin(F.broadcast(last)).withColumn("superseded_by", F.when(old, F.col("last") + 1).otherwise(F.col("superseded_by")).cast(adrs.schema["superseded_by"].dataType))
+    return marked.withColumn("status", F.when(old, "superseded").otherwise(F.col("status"))).select(*new.columns).unionByName(new)
+
+
+def decision(adrs: DataFrame, id: int) -> DataFrame:
+    """The decision of this id, or no row."""
+    return adrs.where(F.col("id") == id)
+
+
 def trace_edges(events: DataFrame) -> DataFrame:
     """(caller, callee, calls, payload): consecutive events of a user as calls; payload sums the JSON field k of the callee."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

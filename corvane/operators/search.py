@@ -22,18 +22,28 @@ KIND_BOOST = {"function": 1.30, "struct_type": 1.20, "const_value": 1.10, "varia
 def bm25(index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """(doc_id, path, score) of all documents with a term of the query; a term that the query repeats counts as often.
 
-    Only postings of the query's terms take part; the two sums over the corpus come as one row each.
+    Only postings of the query's terms take part. A stored segment has lengths with the postings and counts with the terms, so its
+    texts aren't read, and documents are joined for their paths, after the sum over terms; a lazy index derives all of it from the texts.
     """
+    scored = scores(index, query, k1, b)
+    return scored.join(index.docs.select("doc_id", "path"), "doc_id").select("doc_id", "path", "score")
+
+
+def scores(index, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(doc_id, score)."""
     terms = query_terms(query)
     spark = index.docs.sparkSession
     hits = index.postings(list(terms))
     times = spark.createDataFrame(list(terms.items()), "term string, times int")
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(times), "term")  # a row for each term of the query
-    stats = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("token_count"), F.lit(0.0)), F.lit(1.0)).alias("average"))
+    if "token_count" in hits.columns:
+        df = index.terms(list(terms)).select("term", "df")
+    else:
+        hits, df = hits.join(index.docs, "doc_id"), hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = df.join(F.broadcast(times), "term")  # a row for each term of the query
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("token_count") / F.col("average")))
-    found = hits.join(F.broadcast(df), "term").join(index.docs, "doc_id").crossJoin(F.broadcast(stats))
-    return found.groupBy("doc_id", "path").agg(F.sum(F.col("times") * idf * tf).alias("score"))
+    found = hits.join(F.broadcast(df.crossJoin(F.broadcast(index.stats()))), "term")  # two sums over the corpus, one row
+    return found.groupBy("doc_id").agg(F.sum(F.col("times") * idf * tf).alias("score"))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "path") -> DataFrame:
@@ -56,7 +66,7 @@ def snippet(text: Column, term: str, before: int = 80, size: int = 300, snap: in
 
 
 def search(index, corpus: DataFrame, query: str, k: int, **tuning) -> DataFrame:
-    """The k best with snippets; texts are read for the k alone."""
+    """The k best with snippets; of texts only the k's are searched."""
     best = top(bm25(index, query, **tuning), k)
     first = next(iter(query_terms(query)))
     return corpus.select("doc_id", "content").join(F.broadcast(best), "doc_id").select("doc_id", "path", "score", snippet(F.col("content"), first).alias("snippet"))
@@ -205,16 +215,15 @@ def hybrid_search(lexical: DataFrame, similar: DataFrame, query: str, k: int) ->
 
 
 def related(symbols: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:
-    """(document_id, relevance): confidences of distinct (neighbour, confidence) of symbols whose name contains a term, each direction and term for itself."""
-    sure = edges.where(F.col("confidence") >= MIN_CONFIDENCE)
-    parts = []
-    for t in dict.fromkeys(terms):
-        hit = symbols.where(F.contains(F.lower("name"), F.lit(t.lower()))).select("id")
-        for own, other in (("src", "dst"), ("dst", "src")):
-            parts.append(sure.join(hit.withColumnRenamed("id", own), own, "left_semi").select(F.col(other).alias("id"), "confidence").distinct())
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    """(document_id, relevance): confidences of distinct (neighbour, confidence) of symbols whose name contains a term, each direction and term for itself.
+
+    Edges are read once: each gives its two directions, and one join with the hit symbols, which hold their terms, finds all of them."""
+    wanted = list(dict.fromkeys(terms))
+    hit = F.filter(F.array(*[F.when(F.contains(F.lower("name"), F.lit(t.lower())), i) for i, t in enumerate(wanted)]), lambda x: x.isNotNull())
+    hits = symbols.select(F.col("id").alias("own"), hit.alias("terms")).where(F.size("terms") > 0)
+    ends = lambda a, b, d: F.struct(F.col(a).alias("own"), F.col(b).alias("id"), F.lit(d).alias("direction"))
+    both = edges.where(F.col("confidence") >= MIN_CONFIDENCE).select("confidence", F.explode(F.array(ends("src", "dst", 0), ends("dst", "src", 1))).alias("e")).select("confidence", "e.*")
+    every = both.join(hits, "own").select(F.explode("terms").alias("term"), "direction", "id", "confidence").distinct()
     return every.join(symbols.select("id", "document_id"), "id").groupBy("document_id").agg(F.sum("confidence").alias("relevance"))
 
 
@@ -245,6 +254,17 @@ def multi_signal(fused: DataFrame, symbols: DataFrame, edges: DataFrame, terms:
     return out.select("doc_id", "fused", "graph", "kind", (F.col("fused") * (1 + GRAPH_WEIGHT * F.col("graph") + KIND_WEIGHT * (F.col("kind") - 1))).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+#: other names of the same operator
+fast_search = context_search = search
+
+
+def of_document(table: DataFrame, doc_id: int) -> DataFrame:
+    """Rows of one document, such as its symbols or imports, in order of place."""
+    key = "doc_id" if "doc_id" in table.columns else "document_id"
+    order = [c for c in ("line", "line_start", "id", "name", "target") if c in table.columns]
+    return table.where(F.col(key) == doc_id).orderBy(*order)
+
+
 def lookup(symbols: DataFrame, name: str) -> DataFrame:
     """The first symbol of exactly this name."""
     return symbols.where(F.col("name") == name).orderBy("document_id", "line_start", "id").limit(1)

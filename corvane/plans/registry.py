@@ -6,16 +6,18 @@ edge, where both engines agree; every ranking ends in an id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import code, nl, vectors
 from corvane.functions.tokenize import TOKENS_SQL, is_identifier
-from corvane.operators import context, extract, graph, incremental, index, ops, search
+from corvane.operators import context, extract, graph, incremental, index, ingest, ops, search
 from corvane.plans import cypher, sqlquery
+from corvane.sources import store, tables
 from corvane.sources.files import json_rows
-from corvane.sources.tables import CORPUS_SQL, EDGES_SQL, SYMBOLS_SQL, corpus, edges, graph_documents, load, symbols
+from corvane.sources.tables import CORPUS_SQL, EDGES_SQL, SYMBOLS_SQL, corpus, graph_documents, load, symbols
 from corvane.streaming import watcher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,8 +48,38 @@ def r6(c):
 _INDEX_SQL = f"WITH src AS (SELECT doc_id, text AS content FROM documents), {TOKENS_SQL}"
 
 
+_opened: dict[str, index.Segment] = {}
+
+
 def _index(spark, sf):
-    return index.build(corpus(spark, sf))
+    """The stored segment over documents: built by the first query of a session that needs it, opened by the others."""
+    root = store.once(spark, "segment", [f"{sf}/documents.parquet"], lambda path: index.write_segment(index.build(corpus(spark, sf)), path))
+    if root not in _opened:
+        _opened[root] = index.open_segment(spark, root)
+    return _opened[root]
+
+
+def edges(spark, sf):
+    """The graph's edges, derived from the orders once for a session and stored."""
+    made = tables.edges(spark, sf)
+    root = store.once(spark, "edges", [f"{sf}/lineitem.parquet"], lambda path: made.write.parquet(f"{path}/edges"))
+    return spark.read.schema(made.schema).parquet(f"{root}/edges")
+
+
+@query(f"{_INDEX_SQL}, p AS (SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY term, doc_id) SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM p")
+def index_build(spark, sf):
+    """Builds a segment anew each time, and counts what it holds: the cost that the other queries over it don't have."""
+    root = f"{store.shared_dir(spark)}/built"
+    index.write_segment(index.build(corpus(spark, sf)), f"{root}/project")
+    made = index.open_segment(spark, f"{root}/project")
+    n = made.terms().agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("tokens"))
+    return made.stats().select(F.col("n").alias("documents")).crossJoin(n)
+
+
+@query(f"{_INDEX_SQL} SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos, any_value(n) AS token_count FROM tokens JOIN (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) USING (doc_id) WHERE term IN ('the', 'was', 'de', 'ring') GROUP BY term, doc_id")
+def segment_postings(spark, sf):
+    """What a stored segment holds for some terms, of which it reads the buckets alone."""
+    return _index(spark, sf).postings(["the", "was", "de", "ring"])
 
 
 @query(f"{_INDEX_SQL} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tokens GROUP BY term")
@@ -57,12 +89,12 @@ def term_stats(spark, sf):
 
 @query(f"{_INDEX_SQL}, n AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) SELECT d.doc_id, concat(source, '/', d.doc_id) AS path, coalesce(n, 0) AS token_count FROM documents d LEFT JOIN n USING (doc_id)")
 def doc_stats(spark, sf):
-    return _index(spark, sf).docs
+    return _index(spark, sf).docs.select("doc_id", "path", "token_count")
 
 
 @query(f"{_INDEX_SQL} SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos FROM tokens GROUP BY term, doc_id")
 def postings(spark, sf):
-    return _index(spark, sf).postings()
+    return _index(spark, sf).postings().select("term", "doc_id", "tf", "first_pos")
 
 
 @query(
@@ -115,7 +147,7 @@ def search_dup_terms(spark, sf):
 
 @query(bm25_sql(QUERY, 0, last="SELECT doc_id, round(score, 6) AS score FROM scored"))
 def bm25_all_scores(spark, sf):
-    return search.bm25(_index(spark, sf), QUERY).select("doc_id", r6("score").alias("score"))
+    return search.scores(_index(spark, sf), QUERY).select("doc_id", r6("score").alias("score"))
 
 
 _LIVE = """SELECT doc_id, concat(source, '/', doc_id) AS path, text AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
@@ -125,10 +157,9 @@ UNION ALL SELECT -1 - item_id, concat('bench/', item_id), text FROM benchmark"""
 @query(bm25_sql(QUERY, 10, source=_LIVE))
 def search_overlay(spark, sf):
     """Toxic documents are tombstones, benchmark items the overlay."""
-    base = corpus(spark, sf).select("doc_id", "path", "content")
-    dead = base.join(load(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("path")
+    dead = corpus(spark, sf).select("doc_id", "path").join(load(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("path")
     new = load(spark, sf, "benchmark").select((F.lit(-1) - F.col("item_id")).cast("long").alias("doc_id"), F.concat(F.lit("bench/"), "item_id").alias("path"), F.col("text").alias("content"))
-    return _scores(search.top(search.bm25(index.build(search.with_overlay(base, new, dead)), QUERY), 10))
+    return _scores(search.top(search.bm25(index.Overlaid(_index(spark, sf), index.build(new), dead), QUERY), 10))
 
 
 @query(
@@ -158,6 +189,14 @@ def search_json_rows(spark, sf):
     return json_rows(search.top(search.bm25(_index(spark, sf), QUERY), 10).select("doc_id", "path"))
 
 
+@query()
+def build_context(spark, sf):
+    """A question's context: texts, the calls around the symbol it names, totals."""
+    found = search.search(_index(spark, sf), corpus(spark, sf), QUERY, 5).orderBy(F.desc("score"), "path")
+    s = symbols(spark, sf).withColumn("name", F.concat_ws("_", F.split("name", " ")))
+    return context.build("Who calls red_widget", found, s, edges(spark, sf), graph_documents(spark, sf), 800, 50)
+
+
 @query(f"{GRAPH_SQL} SELECT * FROM symbols WHERE name = 'red widget' ORDER BY document_id, line_start, id LIMIT 1")
 def lookup_symbol(spark, sf):
     return search.lookup(symbols(spark, sf), "red widget")
@@ -176,16 +215,6 @@ def _similar(spark, sf):
     return search.semantic(v, v.where("doc_id = 0"))
 
 
-@query(f"WITH {_SIM} SELECT doc_id, round(similarity, 6) AS similarity FROM sim WHERE similarity > 0 ORDER BY sim.similarity DESC, doc_id LIMIT 10")
-def semantic_topk(spark, sf):
-    return search.top(_similar(spark, sf), 10, "similarity", "doc_id").withColumn("similarity", r6("similarity"))
-
-
-@query(f"WITH {_SIM} SELECT doc_id, round(similarity, 6) AS similarity FROM sim WHERE similarity > 0")
-def semantic_all(spark, sf):
-    return _similar(spark, sf).withColumn("similarity", r6("similarity"))
-
-
 _SIMS = "sims AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
@@ -218,13 +247,13 @@ def _rounded(df, *columns):
 
 @query(bm25_sql(QUERY, 10, last=f"{_HYBRID[0:0]}SELECT {_FUSED} FROM fused ORDER BY fused.fused DESC, doc_id LIMIT 10").replace("\nSELECT doc_id, round(fused", _HYBRID + "\nSELECT doc_id, round(fused"))
 def hybrid_rrf(spark, sf):
-    both = search.hybrid_search(search.bm25(_index(spark, sf), QUERY), _similar(spark, sf), QUERY, 10)
+    both = search.hybrid_search(search.scores(_index(spark, sf), QUERY), _similar(spark, sf), QUERY, 10)
     return _rounded(search.top(both, 10, "fused", "doc_id"), "fused", "bm25", "semantic")
 
 
 @query(bm25_sql(IDENTIFIER, 10, last="SELECT doc_id, round(score, 6) AS fused, round(score, 6) AS bm25, 0.0::DOUBLE AS semantic FROM scored ORDER BY score DESC, doc_id LIMIT 10"))
 def hybrid_identifier(spark, sf):
-    both = search.hybrid_search(search.bm25(_index(spark, sf), IDENTIFIER), _similar(spark, sf), IDENTIFIER, 10)
+    both = search.hybrid_search(search.scores(_index(spark, sf), IDENTIFIER), _similar(spark, sf), IDENTIFIER, 10)
     return _rounded(search.top(both, 10, "fused", "doc_id"), "fused", "bm25")
 
 
@@ -258,7 +287,7 @@ def kind_boosts(spark, sf):
     ).replace("\nSELECT doc_id, round(fused", _HYBRID.replace("LIMIT 10", "LIMIT 30").replace("<= 50", "<= 90") + f", {SYMBOLS_SQL}, {EDGES_SQL}, {_RELATED}\nSELECT doc_id, round(fused")
 )
 def multi_signal(spark, sf):
-    fused = search.hybrid_search(search.bm25(_index(spark, sf), QUERY), _similar(spark, sf), QUERY, 30)
+    fused = search.hybrid_search(search.scores(_index(spark, sf), QUERY), _similar(spark, sf), QUERY, 30)
     return _rounded(search.multi_signal(fused, symbols(spark, sf), edges(spark, sf), _TERMS, 10), "fused", "graph", "score")
 
 
@@ -283,6 +312,41 @@ def embed_identifiers(spark, sf):
     return vectors.embed_identifier(load(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit("ItemKey_last")).alias("name")), "c_custkey", "name").withColumn("weight", r6("weight"))
 
 
+@query(f"WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS token FROM documents), {_EMBED} {_UNIT}")
+def embed_documents(spark, sf):
+    return vectors.embed_text(load(spark, sf, "documents"), "doc_id", "text").withColumn("weight", r6("weight"))
+
+
+_COMMENTS = "left(array_to_string(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(ltrim(x), '^(//|/\\*|\\*)')), chr(10)), 4096)"
+_CODE = "left(lower(array_to_string(regexp_extract_all(html, '[A-Za-z0-9_]+'), ' ')), 4096)"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id * 3 AS id, url AS txt FROM pages UNION ALL SELECT page_id * 3 + 1, {_COMMENTS} FROM pages UNION ALL SELECT page_id * 3 + 2, {_CODE} FROM pages),
+t AS (SELECT id, unnest(regexp_extract_all(txt, '[A-Za-z0-9]+')) AS token FROM p), {_EMBED}, unit AS (SELECT id // 3 AS id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
+mean AS (SELECT id, slot, sum(w) AS w FROM unit GROUP BY id, slot)
+SELECT id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM mean"""
+)
+def embed_pages(spark, sf):
+    """A page's vector: the mean of its address, its comments and its code."""
+    p = load(spark, sf, "pages").select("page_id", "url", extract.comments(F.col("html")).alias("comments"), extract.code_tokens(F.col("html")).alias("code"))
+    parts = [vectors.embed_text(p, "page_id", c) for c in ("url", "comments", "code")]
+    return vectors.embed_document(parts).withColumn("weight", r6("weight"))
+
+
+@query("""WITH new AS (SELECT vec_id, list_reverse(embedding) AS embedding, label FROM embeddings WHERE label = (SELECT min(label) FROM embeddings) UNION ALL SELECT -1 - max(vec_id), any_value([1.0::FLOAT]), 0 FROM embeddings),
+kept AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM new) UNION ALL SELECT vec_id, embedding FROM new)
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimensions, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM kept""")
+def upsert_vectors(spark, sf):
+    """Vectors of the least label are put in again, turned round, with one that is new."""
+    v = load(spark, sf, "embeddings")
+    low = v.agg(F.min("label").alias("label"))
+    again = v.join(F.broadcast(low), "label", "left_semi").select("vec_id", F.reverse("embedding").alias("embedding"))
+    new = v.agg((-1 - F.max("vec_id")).alias("vec_id")).select("vec_id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    out = incremental.upsert(v.select("vec_id", "embedding"), again.unionByName(new), "vec_id")
+    return out.select("vec_id", F.size("embedding").alias("dimensions"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 @query("SELECT page_id, left(array_to_string(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(ltrim(x), '^(//|/\\*|\\*)')), chr(10)), 4096) AS comments, md5(left(lower(array_to_string(regexp_extract_all(html, '[A-Za-z0-9_]+'), ' ')), 4096)) AS code FROM pages")
 def comment_and_code_tokens(spark, sf):
     return load(spark, sf, "pages").select("page_id", extract.comments(F.col("html")).alias("comments"), F.md5(extract.code_tokens(F.col("html")).cast("binary")).alias("code"))
@@ -314,8 +378,8 @@ def _cypher(text):
 query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, b.name AS name FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst WHERE a.kind = 'function' ORDER BY a, b LIMIT 100", "cypher_one_hop")(
     _cypher("MATCH (a:Function)-[:CALLS]->(b) RETURN a.id AS a, b.id AS b, b.name AS name ORDER BY a, b")
 )
-query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, c.id AS c FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst JOIN edges f ON f.dst = b.id JOIN symbols c ON c.id = f.src WHERE a.id < 20 AND c.kind = 'module' ORDER BY a, b, c LIMIT 200", "cypher_two_hop")(
-    _cypher("MATCH (a)-[r:CALLS]->(b)<-[s:CALLS]-(c:module) WHERE a.id < 20 RETURN a.id AS a, b.id AS b, c.id AS c ORDER BY a, b, c LIMIT 500")
+query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, c.id AS c FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst JOIN edges f ON f.dst = b.id JOIN symbols c ON c.id = f.src WHERE c.kind = 'module' ORDER BY a, b, c LIMIT 200", "cypher_two_hop")(
+    _cypher("MATCH (a)-[r:CALLS]->(b)<-[s:CALLS]-(c:module) RETURN a.id AS a, b.id AS b, c.id AS c ORDER BY a, b, c LIMIT 500")
 )
 query(f"{GRAPH_SQL} SELECT a.id AS a, b.id AS b, round(e.confidence, 6) AS w FROM symbols a JOIN edges e ON e.src = a.id JOIN symbols b ON b.id = e.dst WHERE (NOT a.kind = 'function' AND e.confidence >= 0.95) OR b.name = 'red widget' AND a.line_start <> 7 ORDER BY b.id DESC, a LIMIT 50", "cypher_where_order")(
     lambda spark, sf: _rounded(_cypher("match (a)-[e]->(b) WHERE NOT a.kind = 'function' AND e.confidence >= 0.95 OR b.name = 'red widget' AND a.line_start <> 7 RETURN a.id AS a, b.id AS b, e.confidence AS w ORDER BY b.id DESC, a LIMIT 50")(spark, sf), "w")
@@ -343,6 +407,12 @@ def trace_edges(spark, sf):
     return graph.trace(edges(spark, sf), START, 2, "both")[1].withColumn("confidence", r6("confidence"))
 
 
+@query(_trace_sql("outbound", """, met AS (SELECT a, b FROM seen JOIN near ON a = id WHERE seen.depth < 2), reach AS (SELECT a AS s, b AS t FROM met UNION SELECT s, b FROM reach JOIN met ON a = t)
+SELECT EXISTS (SELECT b FROM met GROUP BY b HAVING count(*) > 1) AS revisited, EXISTS (SELECT 1 FROM reach WHERE s = t) AS has_cycle"""))
+def trace_cycle(spark, sf):
+    return graph.revisited(graph.trace(edges(spark, sf), START, 2, "outbound")[1])
+
+
 @query(
     f"""WITH RECURSIVE {EDGES_SQL}, goal AS (SELECT max(p_partkey) AS id FROM part),
 walk AS (SELECT {START}::BIGINT AS id, 1.0::DOUBLE AS confidence, [{START}::BIGINT] AS path UNION ALL SELECT dst, walk.confidence * edges.confidence, list_append(path, dst) FROM walk JOIN edges ON src = id WHERE len(path) <= 3 AND NOT list_contains(path, dst))
@@ -510,6 +580,39 @@ def http_routes(spark, sf):
     return extract.routes(load(spark, sf, "pages").select("page_id", text.alias("code")), "page_id", "code")
 
 
+_SOURCE = """const std = @import("std");
+pub const T%s = struct {
+    pub fn make_%s() void {
+        build_%s();
+    }
+};
+fn build_%s() void {
+    make_%s();
+}
+"""
+
+
+def _sources(spark, sf):
+    """A file of source text for each part."""
+    key, text = F.col("p_partkey").cast("string"), F.lit("")
+    for i, piece in enumerate(_SOURCE.split("%s")):
+        text = F.concat(text, *([key] if i else []), F.lit(piece))
+    return load(spark, sf, "part").select(F.concat(F.lit("src/p"), key, F.lit(".zig")).alias("path"), F.lit("zig").alias("language"), text.alias("content"), F.lit(0).cast("long").alias("mtime"), F.col("p_partkey").alias("doc_id"))
+
+
+_EXTRACTED = """(VALUES ('const_value', NULL, 'std', 1), ('imports', '(file)', 'std', 1), ('struct_type', NULL, 'T', 2), ('method', NULL, 'make_', 3), ('contains', 'T', 'make_', 3), ('calls', 'make_', 'build_', 4), ('function', NULL, 'build_', 7), ('calls', 'build_', 'make_', 8)) AS v(kind, source, target, line)"""
+
+
+@query(f"SELECT p_partkey AS doc_id, kind, CASE WHEN source IN ('T', 'make_', 'build_') THEN source || p_partkey ELSE source END AS source, CASE WHEN target = 'std' THEN target ELSE target || p_partkey END AS target, CAST(line AS BIGINT) AS first_line FROM part, {_EXTRACTED}")
+def extract_symbols(spark, sf):
+    return extract.extract(_sources(spark, sf)).drop("last_line")
+
+
+@query("""SELECT entity, kind, n * (SELECT count(*) FROM part) AS n FROM (VALUES ('document', 'zig', 1::BIGINT), ('symbol', 'const_value', 1), ('symbol', 'struct_type', 1), ('symbol', 'method', 1), ('symbol', 'function', 1), ('edge', 'contains', 1), ('edge', 'calls', 2)) AS v(entity, kind, n)""")
+def extract_and_store(spark, sf):
+    return ingest.counts(*ingest.graph_of(_sources(spark, sf)))
+
+
 @query("""WITH o AS (SELECT c_name AS source, lead(c_name) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS target FROM customer)
 SELECT a.c_custkey AS src, b.c_custkey AS dst, 'calls' AS edge_type, 1.0::DOUBLE AS confidence FROM o JOIN customer a ON a.c_name = source JOIN customer b ON b.c_name = target""")
 def edge_resolution(spark, sf):
@@ -533,6 +636,18 @@ def adr_log(spark, sf):
     return ops.decisions(adrs, "accepted")
 
 
+@query("""SELECT n_nationkey AS id, n_name AS title, CASE n_nationkey WHEN 3 THEN 'superseded' ELSE 'accepted' END AS status, CASE n_nationkey WHEN 3 THEN (SELECT max(n_nationkey) + 1 FROM nation)::BIGINT END AS superseded_by FROM nation
+UNION ALL SELECT max(n_nationkey) + 1, 'Store edges', 'accepted', NULL FROM nation""")
+def adr_supersede(spark, sf):
+    one = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.lit("").alias("context"), F.lit("as it was").alias("decision"), F.lit("accepted").alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.lit("2024-01-01").alias("created_at"))
+    return ops.decide(one, "Store edges", "They were derived by each query.", "Derive them once.", "2024-02-01", supersedes=3).select("id", "title", "status", "superseded_by")
+
+
+@query("SELECT n_nationkey AS id, n_name AS title FROM nation WHERE n_nationkey = 7")
+def adr_get(spark, sf):
+    return ops.decision(load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title")), 7)
+
+
 @query("""WITH s AS (SELECT event_type AS callee, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS caller, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT caller, callee, count(*) AS calls, CAST(sum(k) AS BIGINT) AS payload FROM s WHERE caller IS NOT NULL GROUP BY caller, callee""")
 def ingest_traces(spark, sf):
@@ -610,15 +725,29 @@ def complexity_lines(spark, sf):
     return load(spark, sf, "pages").select("page_id", code.code_lines(F.col("html")).alias("code_lines"), code.branches(F.col("html")).alias("branches"))
 
 
-@query()
+_BRACES = """m AS (SELECT page_id, generate_subscripts(b, 1) AS i, unnest(b) AS c FROM (SELECT page_id, regexp_extract_all(html || chr(10), '[{}\n]') AS b FROM pages)),
+s AS (SELECT *, sum(CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS cum FROM m),
+deep AS (SELECT page_id, max(now) AS depth FROM (SELECT *, cum - least(0, min(cum) OVER (PARTITION BY page_id ORDER BY i)) AS now FROM s) WHERE c = chr(10) GROUP BY page_id)"""
+_COMPLEXITY = f"""t AS (SELECT page_id, list_filter(list_transform(string_split(html, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') AS x FROM pages), {_BRACES},
+complexity AS (SELECT page_id, round(len(x) * 0.1::DOUBLE + len(list_filter(x, lambda y: regexp_matches(y, '{code.BRANCH}'))) * 0.5::DOUBLE + coalesce(depth, 0) * 0.3::DOUBLE, 6) AS complexity FROM t LEFT JOIN deep USING (page_id))"""
+
+
+@query(f"WITH {_COMPLEXITY} SELECT * FROM complexity")
 def complexity(spark, sf):
     return load(spark, sf, "pages").select("page_id", r6(code.complexity(F.col("html"))).alias("complexity"))
 
 
-@query()
+@query(
+    f"""WITH {_COMPLEXITY}, l AS (SELECT page_id, url, html, string_split(html, chr(10)) AS x, regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_.]*)\\s*\\(', 1) AS calls,
+  list_concat(regexp_extract_all(html, '@import\\("([^"]+)"\\)', 1), regexp_extract_all(html, '(?m)^\\s*(?:import|from|use)\\s+([A-Za-z_][\\w.:]*)', 1)) AS needs FROM pages)
+SELECT page_id AS id, url AS name, 'module' AS kind, trim(regexp_replace(coalesce(list_filter(x, lambda y: trim(y) <> '')[1], ''), '\\s*\\{{?\\s*$', '')) AS signature,
+coalesce(trim(regexp_replace(list_filter(x, lambda y: regexp_matches(ltrim(y), '^(///|//|#|\\*)'))[1], '^\\s*(///?|#|\\*)+', '')), '') AS purpose,
+array_to_string(list_filter(list_filter(calls, lambda c, i: list_position(calls, c) = i), lambda c: c NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'fn', 'def') AND c <> url), ',') AS operations,
+array_to_string(list_filter(needs, lambda c, i: list_position(needs, c) = i), ',') AS dependencies, complexity FROM l JOIN complexity USING (page_id)"""
+)
 def summaries(spark, sf):
     pages = load(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"), F.lit("module").alias("kind"), F.col("html").alias("code"))
-    return context.summarize(pages)
+    return context.summarize(pages).withColumns({c: F.array_join(c, ",") for c in ("operations", "dependencies")})
 
 
 _RULES = ["*.md", "!keep.md", "src1*/**", "src2/?", "**/7*"]
@@ -657,24 +786,33 @@ def watch_diff(spark, sf):
 
 
 def _scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return f"{base}/watch-{uuid.uuid4().hex}"
+    return f"{store.shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+
+
+def _streamed(spark, sf, aggregate):
+    """Runs an aggregate over the events as a stream: each micro-batch puts out the whole result so far, and the last one stays."""
+    root, path = _scratch(spark), f"{sf}/events.parquet"
+    schema = load(spark, sf, "events").schema
+    source = spark.readStream.schema(schema)
+    fs, p = store.path_of(spark, path)
+    stream = source.parquet(path) if fs.getFileStatus(p).isDirectory() else source.option("pathGlobFilter", "events.parquet").parquet(sf)
+    kind = schema["ts"].dataType  # a watermark needs times with a zone
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    write = lambda d, k: d.write.mode("overwrite").parquet(f"{root}/out/{k}")
+    watcher.complete(aggregate(stream), write, f"{root}/checkpoint").awaitTermination()
+    fs, p = store.path_of(spark, f"{root}/out")
+    last = max(int(f.getPath().getName()) for f in fs.listStatus(p))
+    out = spark.read.parquet(f"{root}/out/{last}")
+    return out.withColumns({f.name: F.col(f.name).cast(kind) for f in out.schema if f.dataType.typeName() == "timestamp"})
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
-    return watcher.windowed(load(spark, sf, "events")).select("start", "event_type", "n", F.round("value", 2).alias("value"))
+    return _streamed(spark, sf, watcher.windowed).select("start", "event_type", "n", F.round("value", 2).alias("value"))
 
 
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS cut FROM events),
 g AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM g GROUP BY user_id, g""")
 def stream_sessions(spark, sf):
-    return watcher.sessions(load(spark, sf, "events"))
+    return _streamed(spark, sf, watcher.sessions)

@@ -27,6 +27,11 @@ def watch(stream: DataFrame, state: str, on_change: Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+def complete(aggregated: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts a query over what a stream holds now; ``sink`` gets the whole aggregate after each micro-batch, with its number. A batch that is repeated gives the same rows."""
+    return aggregated.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _state(spark: SparkSession, state: str, n: int) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{n}")
     return spark.read.parquet(f"{state}/{n}") if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
