@@ -41,7 +41,9 @@ def build(corpus: DataFrame, symbols: DataFrame | None = None) -> Index:
     each = corpus.select("doc_id", "path", F.transform(identifiers(F.coalesce("content", F.lit(""))), emissions).alias("ids"))
     # lengths come from the arrays of the same row, so they need no shuffle
     docs = each.select("doc_id", "path", F.aggregate("ids", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("token_count"))
-    tokens = each.select("doc_id", F.posexplode("ids").alias("pos", "terms")).select("doc_id", F.explode("terms").alias("term"), F.col("pos").cast("long").alias("pos"))
+    # one row an identifier before it is split, as expressions over arrays' elements aren't compiled
+    words = corpus.select("doc_id", F.posexplode(identifiers(F.coalesce("content", F.lit("")))).alias("pos", "word"))
+    tokens = words.select("doc_id", F.explode(emissions(F.col("word"))).alias("term"), F.col("pos").cast("long").alias("pos"))
     if symbols is not None:
         boost = symbols.select("doc_id", F.explode(F.flatten(F.transform(identifiers(F.col("name")), emissions))).alias("term"), F.lit(0).cast("long").alias("pos"))
         tokens = tokens.unionByName(boost)

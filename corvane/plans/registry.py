@@ -51,9 +51,9 @@ _INDEX_SQL = f"WITH src AS (SELECT doc_id, text AS content FROM documents), {TOK
 _opened: dict[str, index.Segment] = {}
 
 
-def _index(spark, sf):
+def _index(spark, sf, anew=False):
     """The stored segment over documents: built by the first query of a session that needs it, opened by the others."""
-    root = store.once(spark, "segment", [f"{sf}/documents.parquet"], lambda path: index.write_segment(index.build(corpus(spark, sf)), path))
+    root = store.once(spark, "segment", [f"{sf}/documents.parquet"], lambda path: index.write_segment(index.build(corpus(spark, sf)), path), anew)
     if root not in _opened:
         _opened[root] = index.open_segment(spark, root)
     return _opened[root]
@@ -68,10 +68,8 @@ def edges(spark, sf):
 
 @query(f"{_INDEX_SQL}, p AS (SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY term, doc_id) SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM p")
 def index_build(spark, sf):
-    """Builds a segment anew each time, and counts what it holds: the cost that the other queries over it don't have."""
-    root = f"{store.shared_dir(spark)}/built"
-    index.write_segment(index.build(corpus(spark, sf)), f"{root}/project")
-    made = index.open_segment(spark, f"{root}/project")
+    """Builds the session's segment anew, and counts what it holds: the cost that the queries over it don't have."""
+    made = _index(spark, sf, anew=True)
     n = made.terms().agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("tokens"))
     return made.stats().select(F.col("n").alias("documents")).crossJoin(n)
 

@@ -65,10 +65,10 @@ def stamp(spark: SparkSession, *paths: str) -> tuple:
     return tuple(out)
 
 
-def once(spark: SparkSession, name: str, sources: list[str], build: Callable[[str], None]) -> str:
-    """The folder that ``build`` fills. It is filled once for a session and the state of its source tables; a source that changes, or a folder that was removed, has it built anew."""
+def once(spark: SparkSession, name: str, sources: list[str], build: Callable[[str], None], anew: bool = False) -> str:
+    """The folder that ``build`` fills. It is filled once for a session and the state of its source tables; a source that changes, a folder that was removed, or ``anew`` has it built again."""
     key = (spark.sparkContext.applicationId, name, stamp(spark, *sources))
-    if key not in _built or not exists(spark, f"{_built[key]}/done"):
+    if anew or key not in _built or not exists(spark, f"{_built[key]}/done"):
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build(path)
         fs, p = path_of(spark, f"{path}/done")
