@@ -51,6 +51,37 @@ def test_license_base(docs, rows):
     assert set(docs.columns) - {"n_words", "score", "labels"} <= set(out.columns)
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: the base columns of op1 and op10, of which the methods' own columns have no SQL
+LICENSE_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+place AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0),
+hit AS (SELECT doc_id, i - 1 AS i, label FROM place, p WHERE w[i : i + len(phrase) - 1] = phrase)
+SELECT doc_id, len(w) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM d LEFT JOIN hit USING (doc_id) GROUP BY doc_id, w"""
+_FIND = "SELECT doc_id, {k} AS k, unnest(regexp_extract_all(t, '{rx}', {group})) AS v FROM d"
+SECRET_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FIND.format(k=0, rx='(?:(?i)password|passwd|secret|token|api_?key(?-i))["' + "''" + ']?\\x20*[:=]\\x20*["' + "''" + ']?([A-Za-z0-9+/_.=-]+)', group=1)} UNION ALL {_FIND.format(k=1, rx='AKIA[A-Z0-9]+', group=0)} UNION ALL {_FIND.format(k=2, rx='[0-9a-f]+', group=0)})
+SELECT doc_id, count(*) FILTER (WHERE k = 0 AND length(v) >= 6) AS n_assign, count(*) FILTER (WHERE k = 1 AND length(v) >= 20) AS n_access, count(*) FILTER (WHERE k = 2 AND length(v) >= 24) AS n_hex FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
+
+
+@pytest.mark.parametrize("query, sql", [(queries.op1_license_scan, LICENSE_SQL), (queries.op10_secret_scan, SECRET_SQL)])
+def test_base_columns_agree_with_sql(spark, query, sql, data="/root/testdata/sf0.01"):
+    from pathlib import Path
+
+    import duckdb
+
+    if not Path(data).exists():
+        pytest.skip("no data")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    found = c.execute(sql)
+    names = [x[0] for x in found.description]
+    want = Counter(found.fetchall())
+    assert table(query(spark, data), *names) == want and all(any(x[i] for x in want) for i in (1, -1))
+
+
 def test_license_fuzzy_finds_all_within_the_bound(spark):
     notice, k = "permission is hereby granted free of charge", 4
     r = np.random.RandomState(3)
