@@ -39,11 +39,11 @@ def split_identifier(token: Column) -> Column:
 
 
 def emissions(token: Column) -> Column:
-    """What one identifier puts into the index: itself normalised, and its parts unless equal to it. Plain words skip the split."""
+    """What one identifier puts into the index: itself normalised, and its parts unless equal to it. Plain words, with no capital after a digit or a small letter, skip the split."""
     whole = normalize(token)
     parts = F.transform(split_identifier(token), lambda x: F.substring(F.lower(x), 1, MAX_CHARS))
     split = F.when(whole != "", F.concat(F.array(whole), F.filter(parts, lambda p: p != whole))).otherwise(F.array().cast("array<string>"))
-    return F.when(token.rlike("^(?:[A-Z]?[a-z0-9]*|[A-Z0-9]+)$") & (F.length(token) <= MAX_CHARS), F.array(F.lower(token))).otherwise(split)
+    return F.when(token.rlike("^(?:[A-Z]?[a-z0-9]*|[A-Z]*[0-9]*)$") & (F.length(token) <= MAX_CHARS), F.array(F.lower(token))).otherwise(split)
 
 
 def query_terms(query: str) -> dict[str, int]:
