@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions.tokenize import TOKENS_SQL
 from corvane.operators import index
 from corvane.plans import registry
+from corvane.plans import registry
 
 
 def rows(df):
@@ -21,3 +22,12 @@ def test_a_capital_after_a_digit_begins_a_part(spark):
     want = c.execute(f"WITH {TOKENS_SQL} SELECT term, doc_id, count(*), min(pos) FROM tokens GROUP BY term, doc_id").fetchall()
     assert rows(got.postings()) == sorted(want, key=str)
     assert got.docs.first().token_count == sum(n for _, _, n, _ in want)
+
+
+def test_no_path_is_no_row(spark, monkeypatch):
+    far = spark.createDataFrame([(1, 2, "calls", 1.0)], "src long, dst long, edge_type string, confidence double")
+    monkeypatch.setattr(registry, "edges", lambda spark, sf: far)
+    monkeypatch.setattr(registry, "load", lambda spark, sf, name: spark.createDataFrame([(1,), (2,), (3,)], "p_partkey long"))
+    assert registry.QUERIES["trace_path"](spark, "").collect() == []
+    monkeypatch.setattr(registry, "load", lambda spark, sf, name: spark.createDataFrame([(1,), (2,)], "p_partkey long"))
+    assert [tuple(r) for r in registry.QUERIES["trace_path"](spark, "").collect()] == [(True, 1, 1.0, "1>2")]
