@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 IDENTIFIER = "[A-Za-z0-9_]+"
 MAX_PARTS = 16
 MAX_CHARS = 256
+#: identifiers that have no parts: no capital after a digit or a small letter
+PLAIN = "^(?:[A-Z]?[a-z0-9]*|[A-Z]*[0-9]*)$"
 
 #: tokens (doc_id, pos, term) from a CTE ``src`` with doc_id and content
 TOKENS_SQL = r"""ids AS (
@@ -39,11 +41,19 @@ def split_identifier(token: Column) -> Column:
 
 
 def emissions(token: Column) -> Column:
-    """What one identifier puts into the index: itself normalised, and its parts unless equal to it. Plain words, with no capital after a digit or a small letter, skip the split."""
+    """What one identifier puts into the index: itself normalised, and its parts unless equal to it. Plain words skip the split."""
     whole = normalize(token)
     parts = F.transform(split_identifier(token), lambda x: F.substring(F.lower(x), 1, MAX_CHARS))
     split = F.when(whole != "", F.concat(F.array(whole), F.filter(parts, lambda p: p != whole))).otherwise(F.array().cast("array<string>"))
-    return F.when(token.rlike("^(?:[A-Z]?[a-z0-9]*|[A-Z]*[0-9]*)$") & (F.length(token) <= MAX_CHARS), F.array(F.lower(token))).otherwise(split)
+    return F.when(token.rlike(PLAIN) & (F.length(token) <= MAX_CHARS), F.array(F.lower(token))).otherwise(split)
+
+
+def emitted(token: str) -> list[str]:
+    """emissions() of one identifier."""
+    whole = token.replace("_", "").lower()[:MAX_CHARS]
+    t = re.sub("([A-Z])([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", token))
+    parts = [x.lower()[:MAX_CHARS] for x in t.replace("_", " ").split(" ") if x]
+    return [whole, *(p for p in parts[:MAX_PARTS] if p != whole)] if whole else []
 
 
 def query_terms(query: str) -> dict[str, int]:

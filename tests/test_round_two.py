@@ -71,3 +71,17 @@ def test_one_id_of_many_rows_is_one_vector(spark):
     five = spark.createDataFrame([(7, " ".join(f"word{i}" for i in range(5)))], "id int, text string")
     got, want = ({r.slot: r.weight for r in vectors.embed_text(x, "id", "text").collect()} for x in (df, five))
     assert got == pytest.approx(want)
+
+
+def test_counts_of_a_row_need_no_shuffle(spark, tmp_path):
+    texts = [(1, "a", "parseRing ring_of HTTPServer x9Y " + "_" * 3 + "a" * 300 + " the é the"), (2, "b", None), (3, "c", ""), (4, "d", "endThe"), (5, "e", "the aB" + "cD" * 20)]
+    made = index.build(spark.createDataFrame(texts, "doc_id long, path string, content string").repartition(2))
+    assert "Exchange hashpartitioning" not in made.counts._jdf.queryExecution().executedPlan().toString()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE src (doc_id BIGINT, path VARCHAR, content VARCHAR)")
+    c.executemany("INSERT INTO src VALUES (?, ?, ?)", texts)
+    want = c.execute(f"WITH {TOKENS_SQL} SELECT term, doc_id, count(*), min(pos), (SELECT count(*) FROM tokens t WHERE t.doc_id = tokens.doc_id) FROM tokens GROUP BY term, doc_id").fetchall()
+    index.write_segment(made, f"{tmp_path}/p")
+    assert rows(index.open_segment(spark, f"{tmp_path}/p").postings()) == sorted(want, key=str)
+    twice = index.build(spark.createDataFrame([(1, "a", "ring the ring"), (1, "b", "no ring")], "doc_id long, path string, content string"))
+    assert rows(twice.postings()) == [("no", 1, 1, 0), ("ring", 1, 3, 0), ("the", 1, 1, 1)]
