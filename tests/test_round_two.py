@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import vectors
 from corvane.functions.tokenize import TOKENS_SQL, split_identifier
-from corvane.operators import index
+from corvane.operators import graph, index
 from corvane.plans import registry
 from corvane.plans import registry
 
@@ -85,3 +85,19 @@ def test_counts_of_a_row_need_no_shuffle(spark, tmp_path):
     assert rows(index.open_segment(spark, f"{tmp_path}/p").postings()) == sorted(want, key=str)
     twice = index.build(spark.createDataFrame([(1, "a", "ring the ring"), (1, "b", "no ring")], "doc_id long, path string, content string"))
     assert rows(twice.postings()) == [("no", 1, 1, 0), ("ring", 1, 3, 0), ("the", 1, 1, 1)]
+
+
+def test_a_trace_ends_with_its_frontier(spark, monkeypatch):
+    e = spark.createDataFrame([(1, 2, "calls", 1.0), (2, 3, "calls", 0.9), (3, 1, "calls", 0.8), (8, 9, "calls", 1.0)], "src long, dst long, edge_type string, confidence double")
+    plans, own = [], graph.neighbours
+    monkeypatch.setattr(graph, "neighbours", lambda *a, **k: plans.append(own(*a, **k)) or plans[-1])
+    want = None
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(graph, "FRONTIER", size)
+        seen, met = graph.trace(e, 1, 50)
+        assert rows(seen) == [(1, 0), (2, 1), (3, 2)] and len(plans) == 3
+        want = want or rows(met)
+        assert rows(met) == want and len(want) == 3
+        if size:
+            assert all("ResolvedHint (strategy=broadcast)" in p._jdf.queryExecution().analyzed().toString() for p in plans)
+        plans.clear()
