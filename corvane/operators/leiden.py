@@ -26,7 +26,7 @@ PACKED = 1 << 20
 SKEW = 4
 ROW = "block int, kind string, other int, data binary"
 #: community of a node that isn't among the nodes
-NONE = np.iinfo(np.int64).min
+NONE = int(np.iinfo(np.int64).min)
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -294,11 +294,11 @@ def moved(nodes: DataFrame, edges: DataFrame, m: float, sweeps: int, gamma: floa
     None if hot nodes would make a block too large for a task.
     """
     blocks = -(-2 * edges.count() // ENDS)
-    ends = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double"))
+    ends = edges.select(*(F.coalesce(F.col(c).cast("long"), F.lit(NONE)).alias(c) for c in ("src", "dst")), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
     if ends.select("src").unionByName(ends.select(F.col("dst").alias("src"))).groupBy(F.pmod(F.xxhash64("src"), F.lit(blocks))).count().agg(F.max("count")).first()[0] > SKEW * ENDS:
         return None
     # blobs are shuffled and not stored, as a reader would hold a file's many at once
-    packed = ends.mapInArrow(_packer(blocks), ROW).unionByName(nodes.select(F.col("id").cast("long")).mapInArrow(_packer(blocks), ROW))
+    packed = ends.mapInArrow(_packer(blocks), ROW).unionByName(nodes.where("id IS NOT NULL").select(F.col("id").cast("long")).mapInArrow(_packer(blocks), ROW))
     each = lambda df, f, schema=ROW: df.groupBy("block").applyInArrow(f, schema)
     made = _kept(each(packed, _builder(blocks)))
     asked = _kept(each(made("S", "R"), _resolved))("R")
